@@ -21,6 +21,10 @@ CASES: dict[str, Case] = {}
 
 _MODULES = [
     "models",
+    "projections",
+    "aggregates",
+    "functions",
+    "quality",
 ]
 
 

@@ -145,6 +145,13 @@ def timestamp_literal(moment: dt.datetime, data_type: T.DataType) -> Column:
     return F.expr(f"{kind}'{text}'")
 
 
+def moment(as_of: dt.datetime | None) -> Column:
+    """The given time as a constant column, or the clock when none is given."""
+    if as_of is None:
+        return F.current_timestamp()
+    return timestamp_literal(as_of, T.TimestampNTZType())
+
+
 def trunc_to(unit: str, column: str, df: DataFrame) -> Column:
     """``date_trunc`` that keeps the column's own timestamp type."""
     return F.date_trunc(unit, column).cast(df.schema[column].dataType)

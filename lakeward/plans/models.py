@@ -55,7 +55,7 @@ def _clean_columns(as_of: dt.datetime | None, source_system: str) -> list[Column
         outcome.alias("outcome_label"),
         c.total(list(flags.values())).alias("total_symptoms"),
         c.age_group(age).alias("age_group"),
-        _moment(as_of).alias("processed_at"),
+        c.moment(as_of).alias("processed_at"),
         F.lit(source_system).alias("source_system"),
     ]
 
@@ -135,7 +135,7 @@ def disease_metrics(health: DataFrame, as_of: dt.datetime | None = None) -> Data
         c.share_of_rows(F.col("blood_pressure_level") == "HIGH").alias("high_bp_percentage"),
         c.share_of_rows(F.col("cholesterol_level") == "HIGH").alias("high_cholesterol_percentage"),
         c.risk_band(positive).alias("risk_category"),
-        _moment(as_of).alias("calculated_at"),
+        c.moment(as_of).alias("calculated_at"),
     )
 
 
@@ -213,9 +213,3 @@ def patient_daily(patients: DataFrame, as_of: dt.datetime, days: int = 30) -> Da
         F.avg(positive).alias("positivity_rate"),
         F.avg(c.json_value("demographics", "age", "int")).alias("avg_age"),
     )
-
-
-def _moment(as_of: dt.datetime | None) -> Column:
-    if as_of is None:
-        return F.current_timestamp()
-    return F.expr(f"timestamp_ntz'{as_of:%Y-%m-%d %H:%M:%S.%f}'")
