@@ -25,6 +25,13 @@ _MODULES = [
     "aggregates",
     "functions",
     "quality",
+    "sources",
+    "sinks",
+    "maintenance",
+    "catalog",
+    "metering",
+    "workload",
+    "streaming",
 ]
 
 
