@@ -399,7 +399,7 @@ qualify row_number() over (partition by event_type order by ts desc nulls last,
 def last_n(t: Tables) -> DataFrame:
     rows = t.events.select("event_id", "event_type", "ts")
     newest = [F.col("ts").desc_nulls_last(), F.col("event_id").desc()]
-    return ranking.top_per_key(rows, ["event_type"], newest, 1000, salt_on="event_id")
+    return ranking.top_per_key(rows, ["event_type"], newest, 1000)
 
 
 @case(

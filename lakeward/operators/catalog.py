@@ -140,9 +140,9 @@ def upsert_settings(current: DataFrame | None, updates: DataFrame) -> DataFrame:
     """Tenant settings after a batch of updates, one row per tenant and key.
 
     A later update wins over an earlier one and over the current value; the
-    update id settles equal times. ``created_at`` is the tenant's first update
-    and ``updated_at`` its last. Everything is combined before the shuffle, so
-    a tenant that sends a third of all updates is no hot spot.
+    update id settles equal times. ``created_at`` is the time of the first
+    update of a key, ``updated_at`` of its last. Everything is combined before
+    the shuffle, so a tenant that sends a third of all updates is no hot spot.
     """
     columns = ["tenant_id", "config_key", "config_value", "updated_at", "update_id"]
     rows = updates.select(*columns, F.col("updated_at").alias("created_at"))

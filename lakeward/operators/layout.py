@@ -91,15 +91,9 @@ def upload_target(rows: Column) -> Column:
     return F.when(rows > UPLOAD_ROWS, "large").otherwise("small")
 
 
-def is_large(df: DataFrame) -> bool:
-    """Whether a load counts as large, reading no more than decides it.
-
-    Looks at one row more than the border; a frame within it is measured
-    completely, a larger one needs no byte count.
-    """
-    probe = df.select(row_bytes(df).alias("bytes")).limit(LOAD_ROWS + 1)
-    seen = probe.agg(F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("bytes")).first()
-    return seen.rows > LOAD_ROWS or (seen.bytes or 0) > LOAD_BYTES
+def is_large(rows: int, size: int) -> bool:
+    """``load_target`` for figures that are already known."""
+    return rows > LOAD_ROWS or size > LOAD_BYTES
 
 
 @dataclass(frozen=True)

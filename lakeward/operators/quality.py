@@ -196,6 +196,21 @@ def issues(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
     An empty frame is the only issue of itself. Every other figure but the
     duplicate count comes from the same pass.
     """
+    found = _first_pass(df, limits).select(F.inline("found"))
+    return found.unionByName(_repeats(df, limits)) if limits.check_duplicates else found
+
+
+def _repeats(df: DataFrame, limits: Limits) -> DataFrame:
+    names = [n for n in df.columns if n not in limits.ignore]
+    again = F.col("duplicate_rows")
+    text = F.concat(again.cast("string"), F.lit(" repeated rows"))
+    line = _issue(again > 0, "duplicates", None, again, text)
+    counted = duplicate_rows(df.select(*[f"`{n}`" for n in names]))
+    return counted.select(F.inline(F.array_compact(F.array(line))))
+
+
+def _first_pass(df: DataFrame, limits: Limits) -> DataFrame:
+    """Rows, bytes and the issues one aggregate can find, in a single row."""
     names = [n for n in df.columns if n not in limits.ignore]
     texts = [n for n in names if isinstance(df.schema[n].dataType, T.StringType)] if limits.check_mixed else []
     checked = df.select(
@@ -233,14 +248,7 @@ def issues(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
             F.concat(size.cast("string"), F.lit(f" bytes, more than {limits.max_bytes}")),
         )
     )
-    found = figures.select(F.inline(F.array_compact(F.array(*lines))))
-    if not limits.check_duplicates:
-        return found
-    again = F.col("duplicate_rows")
-    text = F.concat(again.cast("string"), F.lit(" repeated rows"))
-    line = _issue(again > 0, "duplicates", None, again, text)
-    counted = duplicate_rows(df.select(*[f"`{n}`" for n in names]))
-    return found.unionByName(counted.select(F.inline(F.array_compact(F.array(line)))))
+    return figures.select(ROWS, "bytes", F.array_compact(F.array(*lines)).alias("found"))
 
 
 def _issue(condition: Column, kind: str, name: str | None, figure: Column, message: Column) -> Column:
@@ -255,10 +263,26 @@ def _issue(condition: Column, kind: str, name: str | None, figure: Column, messa
     )
 
 
-def validate(df: DataFrame, limits: Limits = Limits()) -> tuple[bool, list[str]]:
-    """Whether a frame has no issue, and the messages (bounded by its columns)."""
-    messages = [row.message for row in issues(df, limits).collect()]
-    return not messages, messages
+@dataclass(frozen=True)
+class Report:
+    """Size of a checked frame and the messages of its issues."""
+
+    rows: int
+    bytes: int
+    messages: list[str]
+
+    @property
+    def ok(self) -> bool:
+        return not self.messages
+
+
+def validate(df: DataFrame, limits: Limits = Limits()) -> Report:
+    """Check a frame; what reaches the driver is bounded by its columns."""
+    first = _first_pass(df, limits).first()
+    messages = [issue.message for issue in first.found]
+    if limits.check_duplicates:
+        messages += [issue.message for issue in _repeats(df, limits).collect()]
+    return Report(first[ROWS], first["bytes"], messages)
 
 
 class QualityError(ValueError):

@@ -138,21 +138,17 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 
 def top_per_key(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    count: int,
-    salt_on: str,
-    salts: int = 64,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], count: int, salts: int = 64
 ) -> DataFrame:
     """The first ``count`` rows of every key, exactly.
 
-    Two rounds: first per key and salt, then per key over the survivors. A hot
-    key is spread over ``salts`` tasks and the last task of any key sees at
-    most ``salts * count`` rows. Spark pushes the row limit below both
-    exchanges.
+    Two rounds: first per key and group of input partitions, then per key over
+    the survivors. Spark pushes the row limit below both exchanges, so a task
+    sends at most ``count`` rows per key; a hot key is spread over ``salts``
+    tasks and its last task sees at most ``salts * count`` rows. Salting by
+    input partition, not by row, keeps a task from sending one limit per salt.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(salts)))
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     first = Window.partitionBy(*keys, "_salt").orderBy(*order)
     last = Window.partitionBy(*keys).orderBy(*order)
     return (

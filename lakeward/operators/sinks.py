@@ -96,8 +96,12 @@ def write_partitioned(df: DataFrame, path: str, column: str = "tenant_id", mode:
 
 
 def write_load(df: DataFrame, table: str, path: str, tenant: str = "tenant_id") -> str:
-    """Write a load by its size: a table when small, partitioned files when large."""
-    if layout.is_large(df):
+    """Write a load by its size: a table when small, partitioned files when large.
+
+    Costs one pass to measure the frame; an ingestion that validates has the
+    figures already and does not need it.
+    """
+    if layout.is_large(*layout.size_of(df).first()):
         write_partitioned(df, path, tenant)
         return "large"
     append_or_create(df, table)

@@ -100,40 +100,49 @@ def statement_type(text: Column) -> Column:
     return kind
 
 
-def registered_sizes(queries: DataFrame, registry: DataFrame, key: str, text: str = "query") -> DataFrame:
-    """One row per statement and table it names, with the rows to expect there.
+def _with_sizes(statements: DataFrame, registry: DataFrame) -> DataFrame:
+    """Join each ``table_name`` with its store and the rows to expect.
 
-    Unknown tables and lake tables without statistics get assumed sizes. The
-    registry is staged, so it is broadcast when its measured size allows.
+    Unknown tables and lake tables without statistics get assumed sizes; no
+    table (null) means no rows. The registry is staged, so it is broadcast
+    when its measured size allows, and a table half of the log uses is then no
+    hot key.
     """
     known = stage(
         registry.select(F.col("table_name").alias("_name"), "source", "row_count"), "registry"
     )
-    used = queries.select(key, F.explode(tables_used(F.col(text))).alias("table_name"))
     unmeasured = F.when(F.col("source") == LAKE_SOURCE, UNMEASURED_LAKE_ROWS)
     rows = F.coalesce("row_count", unmeasured, F.lit(UNKNOWN_ROWS)).cast("bigint")
-    return used.join(known, F.col("table_name") == F.col("_name"), "left").select(
-        key, "table_name", "source", rows.alias("expected_rows")
-    )
+    expected = F.when(F.col("table_name").isNotNull(), rows).otherwise(0)
+    joined = statements.join(known, F.col("table_name") == F.col("_name"), "left")
+    return joined.withColumn("expected_rows", expected).drop("_name", "row_count")
+
+
+def registered_sizes(queries: DataFrame, registry: DataFrame, key: str, text: str = "query") -> DataFrame:
+    """One row per statement and table it names, with the rows to expect there."""
+    used = queries.select(key, F.explode(tables_used(F.col(text))).alias("table_name"))
+    return _with_sizes(used, registry).select(key, "table_name", "source", "expected_rows")
 
 
 def route(queries: DataFrame, registry: DataFrame, key: str, text: str = "query") -> DataFrame:
-    """``small`` or ``large`` per statement, with the reasons.
+    """``small`` or ``large`` per statement, with the reasons. The key is unique.
 
     Any lake table makes a statement large; else its expected rows, score,
-    number of tables, or being analytical on a middling size do.
+    number of tables, or being analytical on a middling size do. The text is
+    dropped before the only shuffle.
     """
-    sizes = registered_sizes(queries, registry, key, text)
-    expected = sizes.groupBy(key).agg(
-        F.sum("expected_rows").alias("expected_rows"),
+    shape = ["score", "query_class", "table_count"]
+    named = features(queries.select(key, text), text).select(
+        key, *shape, F.explode_outer("tables_used").alias("table_name")
+    )
+    described = _with_sizes(named, registry).groupBy(key, *shape).agg(
+        F.sum("expected_rows").alias("rows"),
         F.bool_or(F.coalesce(F.col("source") == LAKE_SOURCE, F.lit(False))).alias("uses_lake"),
     )
-    described = features(queries.select(key, text), text).join(expected, key, "left")
-    rows = F.coalesce("expected_rows", F.lit(0))
-    uses_lake = F.coalesce("uses_lake", F.lit(False))
+    rows = F.col("rows")
     reasons = F.array_compact(
         F.array(
-            F.when(uses_lake, "lake table"),
+            F.when(F.col("uses_lake"), "lake table"),
             F.when(rows > ROW_THRESHOLD, "rows"),
             F.when(F.col("score") > SCORE_THRESHOLD, "score"),
             F.when(F.col("table_count") > TABLE_THRESHOLD, "tables"),

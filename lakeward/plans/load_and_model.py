@@ -40,11 +40,15 @@ def ingest(
     """
     started = dt.datetime.now(dt.timezone.utc)
     done = Ingestion(batches=1)
+    # The check measures the frame as well, so the size costs no extra pass.
     if limits is not None:
-        _, done.issues = quality.validate(df, limits)
+        report = quality.validate(df, limits)
+        done.issues, rows, size = report.messages, report.rows, report.bytes
+    else:
+        rows, size = layout.size_of(df).first()
+    done.target = "large" if layout.is_large(rows, size) else "small"
     seen = Observation()
     stamped = layout.stamp(df, tenant_id, source_type, as_of)
-    done.target = "large" if layout.is_large(stamped) else "small"
     watched = stamped.observe(
         seen, F.count(F.lit(1)).alias("rows"), F.sum(layout.row_bytes(stamped)).alias("bytes")
     )
