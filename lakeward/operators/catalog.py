@@ -6,7 +6,6 @@ import datetime as dt
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lakeward.operators import maintenance
@@ -109,10 +108,8 @@ def table_info(spark: SparkSession, table: str) -> dict[str, DataFrame | None]:
         "description": describe(spark, table),
         "stats": statistics(spark.table(table)),
     }
-    try:
-        info["history"] = maintenance.history(spark, table)
-    except PySparkException:
-        info["history"] = None
+    has_history = spark.catalog.tableExists(f"{table}{maintenance.SNAPSHOT_SUFFIX}")
+    info["history"] = maintenance.history(spark, table) if has_history else None
     columns = [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
     info["partitions"] = partitions(spark.table(table), columns) if columns else None
     return info

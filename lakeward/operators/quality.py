@@ -141,16 +141,22 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 # Kinds a text value can have, tried in this order.
 KINDS = ["int", "double", "date", "boolean", "text"]
+_INTEGER = r"^[+-]?\d+$"
+_DATE = r"^\d{4}-\d{2}-\d{2}$"
 
 
 def value_kind(column: Column) -> Column:
     """What a text value looks like; null stays null."""
     text = F.trim(column)
-    chosen = F.when(column.isNull(), None)
-    for kind in KINDS[:-1]:
-        target = "bigint" if kind == "int" else kind
-        chosen = chosen.when(text.try_cast(target).isNotNull(), kind)
-    return chosen.otherwise("text")
+    date = F.when(text.rlike(_DATE), text.try_cast("date"))
+    return (
+        F.when(column.isNull(), None)
+        .when(text.rlike(_INTEGER), "int")
+        .when(text.rlike(c.NUMBER), "double")
+        .when(date.isNotNull(), "date")
+        .when(F.lower(text).isin("true", "false"), "boolean")
+        .otherwise("text")
+    )
 
 
 def mixed_columns(df: DataFrame) -> DataFrame:

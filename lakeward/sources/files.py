@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from lakeward.functions import columns as c
+
 # Tokens the reference names as missing, and the ones its CSV
 # reader treats as missing on its own.
 NA_VALUES = ["", "NULL", "null", "NA"]
@@ -77,18 +79,22 @@ def infer_types(df: DataFrame) -> T.StructType:
 
     One aggregate over all columns; only its single row reaches the driver.
     """
-    tests = {"bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+    tests = {
+        "bigint": (T.LongType(), lambda text: text.try_cast("bigint")),
+        "double": (T.DoubleType(), c.lenient_double),
+        "boolean": (T.BooleanType(), lambda text: F.when(F.lower(text).isin("true", "false"), text)),
+    }
     counts = []
     for i, name in enumerate(df.columns):
         column = F.col(f"`{name}`")
         counts.append(F.count(column).alias(f"n{i}"))
-        counts += [F.count(column.try_cast(kind)).alias(f"{kind}{i}") for kind in tests]
+        counts += [F.count(parse(column)).alias(f"{kind}{i}") for kind, (_, parse) in tests.items()]
     found = df.agg(*counts).first()
     schema = T.StructType()
     for i, name in enumerate(df.columns):
         fitting = [kind for kind in tests if found[f"{kind}{i}"] == found[f"n{i}"]]
         # A column without values fits everything; it stays text.
-        schema.add(name, tests[fitting[0]] if fitting and found[f"n{i}"] else T.StringType())
+        schema.add(name, tests[fitting[0]][0] if fitting and found[f"n{i}"] else T.StringType())
     return schema
 
 
