@@ -68,14 +68,15 @@ def freshness(t: Tables) -> DataFrame:
 
 
 def _profile_sql(name: str, accepted: str | None) -> str:
-    text = f"""select '{name}' as column_name, 'null_count' as test_type, count(*) as total_rows,
-  count(case when {name} is null then 1 end) as null_count,
-  round(cast(count(case when {name} is null then 1 end) as double) / cast(count(*) as double) * 100, 2) as null_percentage from rev"""
+    def line(test: str, bad: str, over: str) -> str:
+        return f"""select '{name}' as column_name, '{test}' as test_type, count(*) as total_rows,
+  count(*) filter (where {bad}) as null_count, round(count(*) filter (where {bad}) / count(*) * 100, 2) as null_percentage
+from rev where {over}"""
+
+    lines = [line("null_count", f"{name} is null", "true")]
     if accepted:
-        text += f""" union all select '{name}', 'unexpected_values', count(*), count(case when {name} not in {accepted} then 1 end),
-  round(cast(count(case when {name} not in {accepted} then 1 end) as double) / cast(count(*) as double) * 100, 2)
-  from rev where {name} is not null"""
-    return text
+        lines.append(line("unexpected_values", f"{name} not in {accepted}", f"{name} is not null"))
+    return " union all ".join(lines)
 
 
 @case(
@@ -106,21 +107,16 @@ def profile(t: Tables) -> DataFrame:
     )
 
 
-SUMMARY = """select 'stg_rev_numbered' as model_name, count(*) as total_rows,
-  count(case when patient_id is null then 1 end) as null_patient_ids,
-  count(case when disease is null then 1 end) as null_diseases,
-  count(case when outcome_variable not in ('Positive', 'Negative') then 1 end) as invalid_outcomes,
-  count(case when age < 5 or age > 120 then 1 end) as invalid_ages,
-  cast(0 as bigint) as invalid_rates
-from (select *, row_number() over (order by row_key) as patient_id from rev)"""
-
-
 @case(
     "dq_summary",
     with_health(
-        f"""{SUMMARY} union all
-select 'mart_disease_analytics', count(*), 0, count(case when disease_name is null then 1 end), 0, 0,
-  count(case when positivity_rate < 0 or positivity_rate > 30 then 1 end) from mart having count(case when positivity_rate < 0 or positivity_rate > 30 then 1 end) > 0"""
+        """select 'stg_rev_numbered' as model_name, count(*) as total_rows, 0::bigint as null_patient_ids,
+  count(*) filter (where disease is null) as null_diseases,
+  count(*) filter (where outcome_variable not in ('Positive', 'Negative')) as invalid_outcomes,
+  count(*) filter (where age not between 5 and 120) as invalid_ages, 0::bigint as invalid_rates from rev
+union all
+select 'mart_disease_analytics', count(*), 0, 0, 0, 0, count(*) filter (where positivity_rate not between 0 and 30) from mart
+having count(*) filter (where positivity_rate not between 0 and 30) > 0"""
     ),
 )
 def summary(t: Tables) -> DataFrame:

@@ -82,19 +82,26 @@ def insert_select(spark: SparkSession, table: str, query: str) -> bool:
     return True
 
 
-def write_partitioned(df: DataFrame, path: str, column: str = "tenant_id", mode: str = "append") -> None:
-    """Snappy Parquet, one folder per tenant where the column exists.
+def grouped_by(df: DataFrame, column: str = "tenant_id") -> DataFrame:
+    """Rows of a tenant brought together for the write, where the column exists.
 
-    ``rebalance`` brings a tenant's rows together and lets adaptive execution
-    split a hot tenant into several files.
+    ``rebalance`` lets adaptive execution split a hot tenant over several
+    tasks and merge small ones.
     """
-    if column in df.columns:
-        writer = df.hint("rebalance", column).write.partitionBy(column)
-    else:
-        writer = df.write
+    return df.hint("rebalance", column) if column in df.columns else df
+
+
+def write_files(df: DataFrame, path: str, column: str = "tenant_id", mode: str = "append") -> None:
+    """Snappy Parquet, one folder per tenant where the column exists."""
+    writer = df.write.partitionBy(column) if column in df.columns else df.write
     writer.mode(mode).option("compression", "snappy").parquet(path)
 
 
+def write_partitioned(df: DataFrame, path: str, column: str = "tenant_id", mode: str = "append") -> None:
+    """Bring each tenant's rows together and write them as its folder."""
+    write_files(grouped_by(df, column), path, column, mode)
+
+
 def write_load(df: DataFrame, table: str, path: str, tenant: str = "tenant_id") -> str:
     """Write a load by its size: a table when small, partitioned files when large.
 
