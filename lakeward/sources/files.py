@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -160,6 +161,7 @@ def check_source(spark: SparkSession, path: str, kind: str) -> tuple[bool, str]:
         return (True, "") if readable else (False, f"no files: {path}")
     try:
         spark.read.format(kind).load(path).schema
-    except PySparkException as error:
-        return False, f"unreadable {kind}: {str(error).splitlines()[0]}"
+    except (PySparkException, Py4JJavaError) as error:
+        reason = next(line for line in str(error).splitlines() if line.strip())
+        return False, f"unreadable {kind}: {reason}"
     return True, ""
