@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lakeward.operators import maintenance
+from lakeward.operators.joins import with_group_totals
 from lakeward.operators.sinks import append_or_create
 from lakeward.sources.files import schema_report
 from lakeward.sources.tables import quoted
@@ -154,10 +155,17 @@ def upsert_settings(current: DataFrame | None, updates: DataFrame) -> DataFrame:
     )
 
 
-def tenant_table(settings: DataFrame) -> DataFrame:
-    """One row per tenant with its settings as a map (as large as its set of keys)."""
+def tenant_table(settings: DataFrame, page_size: int = 1000) -> DataFrame:
+    """Tenants with their settings as maps of about ``page_size`` keys at most.
+
+    A tenant has one page (0) unless its keys exceed that; a tenant with very
+    many keys gets as many pages as it needs instead of one huge cell.
+    """
+    counted = with_group_totals(settings, ["tenant_id"], F.count(F.lit(1)).alias("_keys"))
+    pages = F.ceil(F.col("_keys") / page_size)
+    page = F.pmod(F.xxhash64("config_key"), pages)
     entry = F.struct("config_key", "config_value")
-    return settings.groupBy("tenant_id").agg(
+    return counted.groupBy("tenant_id", page.alias("page")).agg(
         F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("config"),
         F.min("created_at").alias("created_at"),
         F.max("updated_at").alias("updated_at"),

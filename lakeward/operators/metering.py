@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lakeward.operators.ranking import top_rows
+
 # One unit per thousand rows, at least one; the response window;
 # the counters that are kept.
 ROWS_PER_UNIT = 1000
@@ -67,7 +69,7 @@ def counters(events: DataFrame) -> DataFrame:
 def response_times(log: DataFrame, moment: str, latency: str, tie_break: str) -> DataFrame:
     """Mean, longest and shortest of the latest ``RESPONSE_WINDOW`` measurements."""
     newest = [F.col(moment).desc_nulls_last(), F.col(tie_break).desc_nulls_last()]
-    window = log.select(moment, tie_break, latency).orderBy(*newest).limit(RESPONSE_WINDOW)
+    window = top_rows(log.select(moment, tie_break, latency), newest, RESPONSE_WINDOW)
     return window.agg(
         F.avg(latency).alias("avg_response_time"),
         F.max(latency).alias("max_response_time"),

@@ -143,19 +143,39 @@ def top_per_key(
     """The first ``count`` rows of every key, exactly.
 
     Two rounds: first per key and group of input partitions, then per key over
-    the survivors. Spark pushes the row limit below both exchanges, so a task
-    sends at most ``count`` rows per key; a hot key is spread over ``salts``
-    tasks and its last task sees at most ``salts * count`` rows. Salting by
-    input partition, not by row, keeps a task from sending one limit per salt.
+    the survivors. Spark pushes the row limit below both exchanges (up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold``), so a task sends at
+    most ``count`` rows per key; a hot key is spread over ``salts`` tasks and
+    its last task sees at most ``salts * count`` rows.
     """
-    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    first = Window.partitionBy(*keys, "_salt").orderBy(*order)
     last = Window.partitionBy(*keys).orderBy(*order)
     return (
-        salted.withColumn("_n", F.row_number().over(first))
-        .filter(F.col("_n") <= count)
+        _top_per_salt(df, keys, order, count, salts)
         .withColumn("_n", F.row_number().over(last))
         .filter(F.col("_n") <= count)
+        .drop("_n")
+    )
+
+
+def top_rows(df: DataFrame, order: Sequence[Column], count: int, salts: int = 64) -> DataFrame:
+    """The first ``count`` rows of the whole frame, exactly.
+
+    ``orderBy().limit()`` alone sends ``count`` rows of every input task to
+    one task; here only ``salts * count`` arrive there.
+    """
+    return _top_per_salt(df, [], order, count, salts).orderBy(*order).limit(count)
+
+
+def _top_per_salt(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], count: int, salts: int
+) -> DataFrame:
+    # Salting by input partition, not by row, keeps a task from sending one
+    # limit per salt.
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    window = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    return (
+        salted.withColumn("_n", F.row_number().over(window))
+        .filter(F.col("_n") <= count)
         .drop("_n", "_salt")
     )
 

@@ -172,6 +172,21 @@ def test_settings_merge_and_order(spark):
     assert (table["beta"].created_at, table["beta"].updated_at) == (dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 5))
 
 
+def test_many_settings_spread_over_pages(spark):
+    updates = spark.range(500).select(
+        F.when(F.col("id") < 490, "big").otherwise("small").alias("tenant_id"),
+        F.concat(F.lit("k"), "id").alias("config_key"),
+        F.col("id").cast("string").alias("config_value"),
+        F.lit(NOW).cast("timestamp_ntz").alias("updated_at"),
+        F.col("id").alias("update_id"),
+    )
+    found = catalog.tenant_table(catalog.upsert_settings(None, updates), page_size=50).collect()
+    big = [r for r in found if r.tenant_id == "big"]
+    assert len(big) == 10 and max(len(r.config) for r in big) < 100
+    assert sum(len(r.config) for r in found) == 500
+    assert [(r.page, len(r.config)) for r in found if r.tenant_id == "small"] == [(0, 10)]
+
+
 def test_dataset_registration(spark, namespace):
     for n in (1, 2):
         catalog.register_dataset(spark, f"{namespace}.datasets", "a", f"d{n}", "small", 10 * n, 3, NOW)

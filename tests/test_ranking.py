@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 import pytest
-from conftest import rows
+from conftest import rows, settings
 from hypothesis import HealthCheck, given, settings as hypothesis_settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -79,6 +79,41 @@ def test_top_per_key_is_exact(skewed):
     assert sorted(found["id"]) == sorted(expected["id"])
 
 
+def test_top_rows_of_a_whole_frame(skewed):
+    order = [F.col("value").desc_nulls_last(), F.col("id")]
+    found = ranking.top_rows(skewed, order, 25, salts=3)
+    assert [r.id for r in found.collect()] == [r.id for r in skewed.orderBy(*order).limit(25).collect()]
+
+
+def test_limit_is_pushed_below_the_shuffle(skewed):
+    top = ranking.top_per_key(skewed, ["key"], [F.col("id")], 7)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 4  # partial and final, in both rounds
+
+
+def test_a_hot_join_key_is_split(spark):
+    hot = spark.range(0, 60_000, 1, 8).select(
+        F.when(F.col("id") % 3 < 2, 0).otherwise(F.col("id") % 50).alias("k"),
+        F.sha2(F.col("id").cast("string"), 512).alias("t"),
+    )
+    sides = hot.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    with settings(
+        spark,
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="256k",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="512k",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor="2",
+    ):
+        joined = joins.join_summary(hot, sides, "k").groupBy("n").agg(
+            F.count(F.lit(1)).alias("rows"), F.max("t").alias("t")
+        )
+        found = joined.collect()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "skew=true" in plan
+    assert sum(r.rows for r in found) == 60_000
+
+
 def test_array_chunks_keep_every_value(skewed):
     chunks = ranking.array_chunks(skewed, ["key"], "value", "id", "members", chunk_size=50)
     collected = chunks.collect()
