@@ -152,7 +152,7 @@ def cast(t: Tables) -> DataFrame:
         "event_id",
         F.col("value").cast("string").alias("value_text"),
         c.json_value("props", "k", "int").alias("k"),
-        F.col("event_type").try_cast("int").alias("no_number"),
+        c.lenient_bigint("event_type").try_cast("int").alias("no_number"),
         F.col("ts").cast("date").alias("day"),
         F.col("event_id").cast("double").alias("id_double"),
     )

@@ -121,7 +121,8 @@ having count(*) filter (where positivity_rate not between 0 and 30) > 0"""
 )
 def summary(t: Tables) -> DataFrame:
     # Borders are tightened so that both models have failures to report.
-    numbered = number_rows(t.rev, [F.col("row_key").asc_nulls_last()], "patient_id")
+    records = t.rev.select("row_key", "disease", "age", "outcome_variable")
+    numbered = number_rows(records, [F.col("row_key").asc_nulls_last()], "patient_id")
     mart = m.disease_metrics(m.clean_health(t.rev, AS_OF), AS_OF)
     rate = F.col("positivity_rate")
     return q.summary(

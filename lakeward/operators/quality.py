@@ -141,7 +141,6 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 # Kinds a text value can have, tried in this order.
 KINDS = ["int", "double", "date", "boolean", "text"]
-_INTEGER = r"^[+-]?\d+$"
 _DATE = r"^\d{4}-\d{2}-\d{2}$"
 
 
@@ -151,7 +150,7 @@ def value_kind(column: Column) -> Column:
     date = F.when(text.rlike(_DATE), text.try_cast("date"))
     return (
         F.when(column.isNull(), None)
-        .when(text.rlike(_INTEGER), "int")
+        .when(text.rlike(c.WHOLE), "int")
         .when(text.rlike(c.NUMBER), "double")
         .when(date.isNotNull(), "date")
         .when(F.lower(text).isin("true", "false"), "boolean")

@@ -24,24 +24,30 @@ _PLACE, _RANGE = "_place", "_range"
 SMALL_RESULT_ROWS = 100_000
 
 
-def _placed(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+def _placed(df: DataFrame, order: Sequence[Column], keep: Sequence[str] | None = None) -> DataFrame:
     """Rows staged in global order with their range and place in it."""
+    keep = df.columns if keep is None else keep
     ranged = (
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .withColumn(_PLACE, F.monotonically_increasing_id())
+        .select(*keep, F.monotonically_increasing_id().alias(_PLACE))
     )
     return stage(ranged, "ranges").withColumn(
         _RANGE, F.shiftright(_PLACE, _POSITION_BITS)
     )
 
 
-def number_rows(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+def number_rows(
+    df: DataFrame, order: Sequence[Column], name: str, keep: Sequence[str] | None = None
+) -> DataFrame:
     """``row_number() over (order by ...)`` from 1, in two distributed passes.
 
-    The order must be total: end it with a unique column.
+    The order must be total: end it with a unique column. ``keep`` names the
+    columns wanted in the result; the others only serve the sort and are not
+    written.
     """
-    placed = _placed(df, order)
+    keep = df.columns if keep is None else list(keep)
+    placed = _placed(df, order, keep)
     in_order = Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
     # One row per range, so both this window and the broadcast are bounded by
     # the number of shuffle partitions, not by the data.
@@ -52,7 +58,7 @@ def number_rows(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     )
     position = F.col(_PLACE).bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
     return placed.join(F.broadcast(starts), _RANGE).select(
-        *df.columns, (F.col("_start") + position + 1).alias(name)
+        *keep, (F.col("_start") + position + 1).alias(name)
     )
 
 

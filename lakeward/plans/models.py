@@ -83,7 +83,9 @@ def stg_health(
     spreads a hot disease over many ranges of the sort.
     """
     order = [F.col(name).asc_nulls_last() for name in ["disease", "age", "gender", tie_break]]
-    numbered = number_rows(rev.dropna(subset=REQUIRED), order, "patient_id")
+    needed = [*REQUIRED, *SYMPTOMS, "blood_pressure", "cholesterol_level"]
+    kept = rev.dropna(subset=REQUIRED).select(*dict.fromkeys([*needed, tie_break]))
+    numbered = number_rows(kept, order, "patient_id", needed)
     return numbered.select("patient_id", *_clean_columns(as_of, source_system))
 
 

@@ -81,7 +81,7 @@ def infer_types(df: DataFrame) -> T.StructType:
     One aggregate over all columns; only its single row reaches the driver.
     """
     tests = {
-        "bigint": (T.LongType(), lambda text: text.try_cast("bigint")),
+        "bigint": (T.LongType(), c.lenient_bigint),
         "double": (T.DoubleType(), c.lenient_double),
         "boolean": (T.BooleanType(), lambda text: F.when(F.lower(text).isin("true", "false"), text)),
     }

@@ -43,6 +43,9 @@ def test_percent_of_nothing_is_null(spark):
 def test_lenient_numbers(spark):
     texts = [("3.7",), ("4",), (" 5 ",), ("abc",), ("",), ("1e2",), (None,), ("99999999999",)]
     assert values(spark, texts, "t string", c.lenient_int("t")) == [4, 4, 5, None, None, 100, None, None]
+    assert values(spark, texts, "t string", c.lenient_bigint("t")) == [
+        None, 4, 5, None, None, None, None, 99999999999,
+    ]
     assert values(spark, [(3.7,), (3.2,)], "v double", c.rounded_int("v")) == [4, 3]
 
 
