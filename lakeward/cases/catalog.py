@@ -157,3 +157,18 @@ def tenants(t: Tables) -> DataFrame:
     table = catalog.tenant_table(catalog.upsert_settings(None, t.tenant_updates))
     pairs = F.transform(F.map_entries("config"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return table.select("tenant_id", F.array_join(F.sort_array(pairs), ",").alias("config"), "updated_at")
+
+
+@case(
+    "meta_catalogs",
+    """select concat('catalog_', user_id) as catalog_name, arg_max(event_type, event_id) as tenant_id, max(ts) as linked_at from (
+  select * from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1) group by user_id""",
+)
+def catalogs(t: Tables) -> DataFrame:
+    links = t.events.select(
+        F.concat(F.lit("catalog_"), F.col("user_id").cast("string")).alias("catalog_name"),
+        F.col("event_type").alias("tenant_id"),
+        F.col("ts").alias("linked_at"),
+        F.col("event_id").alias("link_id"),
+    )
+    return catalog.catalog_index(links)

@@ -10,7 +10,7 @@ from lakeward.cases import case
 from lakeward.cases.models import with_health
 from lakeward.operators import layout, quality as q
 from lakeward.operators.ranking import number_rows
-from lakeward.plans import models as m
+from lakeward.plans import expectations, models as m
 from lakeward.plans.fixtures import AS_OF, Tables, oracle
 
 
@@ -264,3 +264,30 @@ from (select count(*) as n from base group by disease, gender, blood_pressure, a
 def issue_list(t: Tables) -> DataFrame:
     base = t.rev.select("disease", "gender", "blood_pressure", "age", F.lit(None).cast("string").alias("note"))
     return q.issues(base)
+
+
+def _checks_sql(checks: list[q.Check], table: str) -> str:
+    lines = []
+    for check in checks:
+        column = check.columns[0]
+        if check.kind == "unique":
+            keys = ", ".join(check.columns)
+            found = f"(select count(*) from (select 1 from {table} group by {keys} having count(*) > 1))"
+        elif check.kind == "not_null":
+            found = f"(select count(*) from {table} where {column} is null)"
+        elif check.kind == "accepted_values":
+            found = f"(select count(*) from {table} where {column} not in {check.values})"
+        else:
+            found = f"(select count(*) from {table} where {column} not between {check.values[0]} and {check.values[1]})"
+        lines.append(f"select '{check.name}' as check_name, '{check.severity}' as severity, {found} as failures")
+    return f"select *, if(failures > 0, severity, 'pass') as result from ({' union all '.join(lines)})"
+
+
+@case("dq_source_checks", oracle(_checks_sql(expectations.REV, "rev"), "rev"))
+def source_checks(t: Tables) -> DataFrame:
+    return q.run_checks(t.rev, expectations.REV)
+
+
+@case("dq_lake_checks", oracle(_checks_sql(expectations.PATIENT_DATA, "patient_data"), "patient_data"))
+def lake_checks(t: Tables) -> DataFrame:
+    return q.run_checks(t.patient_data, expectations.PATIENT_DATA)

@@ -172,6 +172,14 @@ def tenant_table(settings: DataFrame, page_size: int = 1000) -> DataFrame:
     )
 
 
+def catalog_index(links: DataFrame) -> DataFrame:
+    """Owner of every catalog: the tenant of its latest link."""
+    recency = F.struct("linked_at", "link_id")
+    return links.groupBy("catalog_name").agg(
+        F.max_by("tenant_id", recency).alias("tenant_id"), F.max("linked_at").alias("linked_at")
+    )
+
+
 def dataset_overview(frames: Mapping[str, DataFrame]) -> DataFrame:
     """Row and column counts of several datasets in one result."""
     parts = [
@@ -184,6 +192,6 @@ def dataset_overview(frames: Mapping[str, DataFrame]) -> DataFrame:
 
 
 __all__ = [
-    "dataset_overview", "describe", "list_catalogs", "list_namespaces", "list_tables", "partitions",
+    "catalog_index", "dataset_overview", "describe", "list_catalogs", "list_namespaces", "list_tables", "partitions",
     "register_dataset", "schema_report", "statistics", "table_info", "tenant_table", "upsert_settings",
 ]

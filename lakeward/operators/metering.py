@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lakeward.operators.ranking import top_rows
+from lakeward.session import stage
 
 # One unit per thousand rows, at least one; the response window;
 # the counters that are kept.
@@ -78,8 +79,14 @@ def response_times(log: DataFrame, moment: str, latency: str, tie_break: str) ->
     )
 
 
-def log_entries(log: DataFrame) -> DataFrame:
-    """Query-log lines as they are stored: the text is cut, latency defaults to 0."""
+def log_entries(log: DataFrame, tenants: DataFrame | None = None) -> DataFrame:
+    """Query-log lines as they are stored: the text is cut, latency defaults to 0.
+
+    With a tenant table, statements of unknown tenants are not logged.
+    """
+    if tenants is not None:
+        known = stage(tenants.select("tenant_id").distinct(), "tenants")
+        log = log.join(known, "tenant_id", "left_semi")
     return log.select(
         "query_id",
         "tenant_id",

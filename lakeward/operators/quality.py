@@ -313,3 +313,58 @@ def enforce(results: DataFrame) -> None:
     failed = [row.check_name for row in results.filter("result = 'error'").collect()]
     if failed:
         raise QualityError("failed checks: " + ", ".join(sorted(failed)))
+
+
+@dataclass(frozen=True)
+class Check:
+    """A declared expectation on one or more columns."""
+
+    kind: str  # not_null, accepted_values, accepted_range or unique
+    columns: tuple[str, ...]
+    values: tuple = ()
+    severity: str = "error"
+
+    @property
+    def name(self) -> str:
+        return f"{self.kind}_{'_'.join(self.columns)}"
+
+    def broken(self) -> Column:
+        """Rows that break a row-level check; nulls pass all but ``not_null``."""
+        column = F.col(f"`{self.columns[0]}`")
+        if self.kind == "not_null":
+            return column.isNull()
+        if self.kind == "accepted_values":
+            return ~column.isin(*self.values)
+        if self.kind == "accepted_range":
+            return ~column.between(*self.values)
+        raise ValueError(f"unknown check {self.kind!r}")
+
+
+def run_checks(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
+    """Failures and result of every check.
+
+    All row-level checks share one pass; each uniqueness check, which counts
+    values or combinations seen more than once, has its own aggregate.
+    """
+    by_row = [check for check in checks if check.kind != "unique"]
+    counted = df.agg(
+        F.count(F.lit(1)).alias(ROWS),
+        *[F.count_if(check.broken()).alias(f"c{i}") for i, check in enumerate(by_row)],
+    )
+    lines = [_check_line(check, F.col(f"c{i}")) for i, check in enumerate(by_row)]
+    parts = [counted.select(F.inline(F.array(*lines)))] if lines else []
+    for check in checks:
+        if check.kind == "unique":
+            seen = repeated(df, *check.columns).agg(F.count(F.lit(1)).alias("n"))
+            parts.append(seen.select(F.inline(F.array(_check_line(check, F.col("n"))))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _check_line(check: Check, failures: Column) -> Column:
+    result = F.when(failures > 0, check.severity).otherwise("pass")
+    return F.struct(
+        F.lit(check.name).alias("check_name"),
+        F.lit(check.severity).alias("severity"),
+        failures.alias("failures"),
+        result.alias("result"),
+    )

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Mapping
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from lakeward.operators import layout, maintenance, quality, sinks
+from lakeward.operators import catalog, layout, maintenance, quality, sinks
 from lakeward.plans import models as m
+from lakeward.sources import files, jdbc
 
 
 @dataclass
@@ -66,6 +69,69 @@ def ingest(
     return done
 
 
+def read_source(spark: SparkSession, config: Mapping[str, Any], **read: Any) -> DataFrame:
+    """Frame of a described source: ``csv``, ``parquet`` or a database type."""
+    kind = config["type"]
+    if kind == "csv":
+        known = ("separator", "encoding", "header", "na_values", "schema", "multiline")
+        options = {name: config[name] for name in known if name in config}
+        return files.read_csv(spark, config["file_path"], **{**options, **read})
+    if kind == "parquet":
+        return files.read_parquet(spark, config["file_path"], **read)
+    return jdbc.read_jdbc(spark, config, **read)
+
+
+def ingest_source(
+    spark: SparkSession,
+    config: Mapping[str, Any],
+    table: str,
+    path: str,
+    tenant_id: str,
+    as_of: dt.datetime | None = None,
+    limits: quality.Limits | None = quality.Limits(),
+    **read: Any,
+) -> Ingestion:
+    """Check that a described source can be read, then ingest it."""
+    kind = config["type"]
+    if kind in ("csv", "parquet"):
+        ok, reason = files.check_source(spark, config["file_path"], kind)
+    else:
+        ok, reason = jdbc.check_connection(spark, config)
+    if not ok:
+        raise RuntimeError(f"cannot read the source: {reason}")
+    return ingest(read_source(spark, config, **read), table, path, tenant_id, kind, as_of, limits)
+
+
+def upload(
+    df: DataFrame,
+    table: str,
+    target: str = "auto",
+    registry: str | None = None,
+    tenant_id: str = "default-tenant",
+    as_of: dt.datetime | None = None,
+) -> str:
+    """Store an uploaded frame: replace a local table, or append to a lake table.
+
+    ``auto`` takes the lake above ``UPLOAD_ROWS`` rows. With a registry the
+    dataset is recorded there. Returns the target used.
+    """
+    if target not in ("auto", sinks.LOCAL, sinks.LAKE):
+        raise ValueError(f"unknown target {target!r}")
+    rows = df.count() if target == "auto" or registry else 0
+    if target == "auto":
+        target = sinks.LAKE if rows > layout.UPLOAD_ROWS else sinks.LOCAL
+    if target == sinks.LAKE:
+        sinks.lake_append(df, table)
+    else:
+        sinks.overwrite(df, table)
+    if registry:
+        moment = as_of or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        catalog.register_dataset(
+            df.sparkSession, registry, tenant_id, table, target, rows, len(df.columns), moment
+        )
+    return target
+
+
 def run_models(
     spark: SparkSession,
     source: DataFrame,

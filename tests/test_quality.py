@@ -119,3 +119,25 @@ def test_size_targets(spark):
     assert layout.is_large(1_000_001, 0) and layout.is_large(1, 500 * 1024 * 1024 + 1)
     targets = spark.createDataFrame([(100_000,), (100_001,)], "n long").select(layout.upload_target(F.col("n")))
     assert [r[0] for r in targets.collect()] == ["small", "large"]
+
+
+def test_declared_checks(people):
+    checks = [
+        q.Check("not_null", ("name",)),
+        q.Check("accepted_values", ("name",), ("Alice", "Bob"), severity="warn"),
+        q.Check("accepted_range", ("age",), (0, 120)),
+        q.Check("unique", ("id", "name")),
+        q.Check("not_null", ("id",)),
+    ]
+    found = {r.check_name: (r.failures, r.result) for r in q.run_checks(people, checks).collect()}
+    assert found == {
+        "not_null_name": (1, "error"),
+        "accepted_values_name": (1, "warn"),
+        "accepted_range_age": (1, "error"),
+        "unique_id_name": (1, "error"),
+        "not_null_id": (0, "pass"),
+    }
+    with pytest.raises(q.QualityError, match="accepted_range_age"):
+        q.enforce(q.run_checks(people, checks))
+    with pytest.raises(ValueError, match="unknown check"):
+        q.run_checks(people, [q.Check("pretty", ("id",))])

@@ -156,3 +156,35 @@ def test_models_run_in_order(spark, small, namespace):
     staged = spark.table(names["stg_healthcare_data"])
     ids = staged.agg(F.min("patient_id"), F.max("patient_id"), F.count_distinct("patient_id")).first()
     assert ids[:] == (1, staged.count(), staged.count())
+
+
+def test_ingest_of_described_sources(spark, namespace, tmp_path):
+    csv = tmp_path / "people.csv"
+    csv.write_text("id;name\n1;Alice\n2;NA\n")
+    config = {"type": "csv", "file_path": str(csv), "separator": ";"}
+    done = load_and_model.ingest_source(spark, config, f"{namespace}.people", str(tmp_path / "out"), "a", NOW)
+    assert done.records == 2
+    assert rows(spark.table(f"{namespace}.people"), "id", "name", "source_type") == [(1, "Alice", "csv"), (2, None, "csv")]
+    parquet = str(tmp_path / "p")
+    spark.range(3).withColumn("x", F.col("id") * 2).write.parquet(parquet)
+    config = {"type": "parquet", "file_path": parquet}
+    done = load_and_model.ingest_source(spark, config, f"{namespace}.p", str(tmp_path / "out"), "a", NOW, None, columns=["x"])
+    assert (done.records, spark.table(f"{namespace}.p").columns[0]) == (3, "x")
+    with pytest.raises(RuntimeError, match="not found"):
+        load_and_model.ingest_source(spark, {"type": "csv", "file_path": str(tmp_path / "no")}, "t", "x", "a")
+
+
+def test_upload_chooses_registers_and_replaces(spark, namespace, monkeypatch):
+    registry, table = f"{namespace}.datasets", f"{namespace}.up"
+    assert load_and_model.upload(spark.range(5), table, registry=registry, as_of=NOW) == "local"
+    assert load_and_model.upload(spark.range(3), table, "local") == "local"
+    assert spark.table(table).count() == 3
+    monkeypatch.setattr(layout, "UPLOAD_ROWS", 2)
+    for _ in range(2):
+        assert load_and_model.upload(spark.range(3), f"{namespace}.big", registry=registry, as_of=NOW) == "lake"
+    assert spark.table(f"{namespace}.big").count() == 6
+    assert rows(spark.table(registry), "tenant_id", "target", "rows") == [
+        ("default-tenant", "lake", 3), ("default-tenant", "lake", 3), ("default-tenant", "local", 5),
+    ]
+    with pytest.raises(ValueError, match="unknown target"):
+        load_and_model.upload(spark.range(1), table, "cloud")

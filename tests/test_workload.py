@@ -101,6 +101,12 @@ def test_logged_text_is_cut(spark):
     assert (len(line.query), line.latency_us) == (200, 0)
 
 
+def test_statements_of_unknown_tenants_are_not_logged(spark, small):
+    known = spark.createDataFrame([("tenant_1",), ("tenant_1",), ("other",)], "tenant_id string")
+    found = metering.log_entries(small.query_log, known)
+    assert found.count() == small.query_log.filter("tenant_id = 'tenant_1'").count()
+
+
 def test_lookup_lists_unknown_keys(spark):
     facts = spark.createDataFrame([(1, "a"), (2, "x"), (3, "x"), (4, None)], "id int, k string")
     index = spark.createDataFrame([("A", "t1")], "name string, tenant string")
