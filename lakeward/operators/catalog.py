@@ -85,6 +85,11 @@ def statistics(df: DataFrame, exact: bool = False) -> DataFrame:
     return df.agg(*measures).select(F.inline(F.array(*lines)))
 
 
+def analyze(spark: SparkSession, table: str) -> None:
+    """Store row and column statistics for the optimizer's join order and sizes."""
+    spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR ALL COLUMNS")
+
+
 def partitions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows, files and bytes per partition of a file-based table.
 
@@ -192,6 +197,6 @@ def dataset_overview(frames: Mapping[str, DataFrame]) -> DataFrame:
 
 
 __all__ = [
-    "catalog_index", "dataset_overview", "describe", "list_catalogs", "list_namespaces", "list_tables", "partitions",
+    "analyze", "catalog_index", "dataset_overview", "describe", "list_catalogs", "list_namespaces", "list_tables", "partitions",
     "register_dataset", "schema_report", "statistics", "table_info", "tenant_table", "upsert_settings",
 ]

@@ -66,6 +66,20 @@ def drop_version(spark: SparkSession, version: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {version}")
 
 
+def expire_versions(spark: SparkSession, name: str) -> list[str]:
+    """Drop every version of a table but the current one, once its readers are done."""
+    current = current_version(spark, name)
+    namespace, _, short = name.rpartition(".")
+    own = re.compile(re.escape(short.lower()) + _VERSION_NAME.pattern)
+    dropped = []
+    for table in spark.catalog.listTables(namespace or None):
+        version = f"{namespace}.{table.name}" if namespace else table.name
+        if own.fullmatch(table.name.lower()) and version.lower() != current.lower():
+            drop_version(spark, version)
+            dropped.append(version)
+    return sorted(dropped)
+
+
 def _partitions_of(spark: SparkSession, table: str) -> tuple[str, ...]:
     return tuple(c.name for c in spark.catalog.listColumns(table) if c.isPartition)
 

@@ -113,9 +113,24 @@ def running_sum(
 def number_within(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str
 ) -> DataFrame:
-    """``row_number() over (partition by keys order by ...)``; the order must be total."""
-    counted = running_sum(df, keys, order, F.lit(1).cast("bigint"), name)
-    return counted.withColumn(name, F.col(name) + 1)
+    """``row_number() over (partition by keys order by ...)``; the order must be total.
+
+    The rows of a key are neighbours in their range, so a row's number follows
+    from its place, the first place of its key there, and the key's rows in
+    earlier ranges. One row per key and range is joined back; the data itself
+    is not shuffled again while those rows are small enough to broadcast.
+    """
+    placed = _placed(df, [*[F.col(k).asc_nulls_last() for k in keys], *order])
+    earlier = Window.partitionBy(*keys).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = (
+        placed.groupBy(_RANGE, *keys)
+        .agg(F.min(_PLACE).alias("_first"), F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+        .drop("_rows")
+    )
+    numbered = join_null_safe(placed, stage(pieces, "pieces"), [_RANGE, *keys], "inner")
+    number = F.col(_PLACE) - F.col("_first") + F.col("_before") + 1
+    return numbered.select(*df.columns, number.alias(name))
 
 
 def rank_within(

@@ -139,11 +139,15 @@ def run_models(
     tie_break: str,
     as_of: dt.datetime | None = None,
 ) -> dict[str, str]:
-    """Staging views and mart tables in dependency order; returns their names."""
+    """Staging views and mart tables in dependency order; returns their names.
+
+    Temporary views have no namespace of their own, so theirs carries it: runs
+    for two tenants in one session do not see each other's rows.
+    """
     names = {}
 
     def place(name: str, df: DataFrame, kind: str) -> DataFrame:
-        names[name] = name if kind == "view" else f"{namespace}.{name}"
+        names[name] = f"{namespace}_{name}" if kind == "view" else f"{namespace}.{name}"
         maintenance.materialize(df, names[name], kind)
         return spark.table(names[name])
 

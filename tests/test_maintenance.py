@@ -27,6 +27,23 @@ def test_update_and_delete_report_affected_rows(spark, namespace):
     assert spark.table(name).count() == 2
 
 
+def test_old_versions_expire(spark, namespace):
+    name = f"{namespace}.t"
+    for n in (1, 2, 3):
+        mt.publish(spark.range(n), name)
+    mt.publish(spark.range(9), f"{namespace}.t2")
+    assert len(mt.expire_versions(spark, name)) == 2
+    assert mt.expire_versions(spark, name) == []
+    assert (spark.table(name).count(), spark.table(f"{namespace}.t2").count()) == (3, 9)
+
+
+def test_analyzed_table_has_statistics(spark, namespace):
+    spark.range(7).write.saveAsTable(f"{namespace}.s")
+    catalog.analyze(spark, f"{namespace}.s")
+    details = spark.sql(f"DESCRIBE TABLE EXTENDED {namespace}.s").filter("col_name = 'Statistics'").first()
+    assert "7 rows" in details.data_type
+
+
 def test_rewrite_keeps_partitions_and_column_order(spark, namespace):
     name = f"{namespace}.t"
     df = spark.range(10).select((F.col("id") % 2).alias("p"), "id")
