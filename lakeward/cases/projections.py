@@ -194,7 +194,7 @@ where disease is not null and age is not null and gender is not null and outcome
     ),
 )
 def not_null(t: Tables) -> DataFrame:
-    return t.rev.dropna(subset=m.REQUIRED).select("row_key", *m.REQUIRED)
+    return t.rev.filter(c.present(m.REQUIRED)).select("row_key", *m.REQUIRED)
 
 
 @case(

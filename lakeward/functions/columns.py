@@ -13,6 +13,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
+def present(names: Sequence[str]) -> Column:
+    """All named columns have a value.
+
+    Written as a conjunction because, unlike ``dropna``, it reaches the
+    Parquet scan.
+    """
+    first, *rest = [F.col(f"`{name}`").isNotNull() for name in names]
+    for condition in rest:
+        first = first & condition
+    return first
+
+
 def normalize(text: str | Column) -> Column:
     """Upper-case text without surrounding spaces."""
     return F.trim(F.upper(text))

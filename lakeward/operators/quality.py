@@ -22,7 +22,7 @@ ROWS = "rows"
 
 def column_values(df: DataFrame, column: str) -> DataFrame:
     """Sorted distinct non-null values of a column."""
-    return df.select(column).dropna().distinct().orderBy(F.col(column).asc_nulls_last())
+    return df.select(column).filter(c.present([column])).distinct().orderBy(F.col(column).asc_nulls_last())
 
 
 def null_rows(df: DataFrame, column: str) -> DataFrame:
@@ -32,7 +32,7 @@ def null_rows(df: DataFrame, column: str) -> DataFrame:
 
 def repeated(df: DataFrame, *columns: str) -> DataFrame:
     """Values (or combinations) seen more than once; a single null key is no value."""
-    keyed = df.dropna(subset=list(columns)) if len(columns) == 1 else df
+    keyed = df.filter(c.present(columns)) if len(columns) == 1 else df
     return keyed.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 

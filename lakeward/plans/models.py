@@ -68,7 +68,7 @@ def clean_health(
     Everything of the staging view but the surrogate key, which alone needs a
     sort. Marts that do not use the key build on this.
     """
-    return rev.dropna(subset=REQUIRED).select(*_clean_columns(as_of, source_system))
+    return rev.filter(c.present(REQUIRED)).select(*_clean_columns(as_of, source_system))
 
 
 def stg_health(
@@ -84,7 +84,7 @@ def stg_health(
     """
     order = [F.col(name).asc_nulls_last() for name in ["disease", "age", "gender", tie_break]]
     needed = [*REQUIRED, *SYMPTOMS, "blood_pressure", "cholesterol_level"]
-    kept = rev.dropna(subset=REQUIRED).select(*dict.fromkeys([*needed, tie_break]))
+    kept = rev.filter(c.present(REQUIRED)).select(*dict.fromkeys([*needed, tie_break]))
     numbered = number_rows(kept, order, "patient_id", needed)
     return numbered.select("patient_id", *_clean_columns(as_of, source_system))
 

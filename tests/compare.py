@@ -55,9 +55,8 @@ KINDS = {
 }
 
 
-def compare(spark, con, run, sql: str, folder: str) -> str | None:
+def compare(con, df, sql: str) -> str | None:
     """None when both sides agree, else what differs."""
-    df = run(spark, folder)
     left = sorted_rows(df.columns, df.collect())
     relation = con.sql(sql)
     right = sorted_rows(relation.columns, relation.fetchall())
@@ -99,7 +98,7 @@ def main() -> int:
         started = time.time()
         try:
             if name in sqls:
-                problem = compare(spark, con, run, sqls[name], folder)
+                problem = compare(con, run(spark, folder), sqls[name])
                 verdict = problem or "ok"
             else:
                 problem = None

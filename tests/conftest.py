@@ -29,6 +29,26 @@ def small(spark):
     return Tables(spark, SMALL)
 
 
+@pytest.fixture(scope="session")
+def built(spark):
+    """Registered queries as frames on the smallest scale, each built once."""
+    import __spark_entry__ as entry
+
+    runs, frames = entry.queries(), {}
+
+    def build(name):
+        if name not in frames:
+            frames[name] = runs[name](spark, SMALL)
+        return frames[name]
+
+    return build
+
+
+@pytest.fixture(scope="session")
+def plan_of(built):
+    return lambda name: built(name)._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.fixture
 def namespace(spark):
     name = new_namespace(spark)

@@ -19,14 +19,14 @@ def con():
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
-def test_equals_sql(spark, con, name):
-    problem = compare(spark, con, QUERIES[name], SQL[name], SMALL)
+def test_equals_sql(built, con, name):
+    problem = compare(con, built(name), SQL[name])
     assert problem in (None, "empty result")
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_gives_rows(spark, name):
-    assert QUERIES[name](spark, SMALL).count() > 0
+def test_gives_rows(built, name):
+    assert built(name).count() > 0
 
 
 def test_entry_gives_the_flagship_mart(spark):
@@ -40,8 +40,8 @@ PYTHON_ALLOWED = {"sink_arrow"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_plan_has_no_all_pairs_join_and_no_python(spark, name):
-    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+def test_plan_has_no_all_pairs_join_and_no_python(plan_of, name):
+    plan = plan_of(name)
     assert "CartesianProduct" not in plan
     assert "NestedLoopJoin" not in plan
     if name not in PYTHON_ALLOWED:
