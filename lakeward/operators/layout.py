@@ -133,6 +133,5 @@ def arrange(df: DataFrame, plan: Strategy) -> DataFrame:
     """
     if plan.day_of:
         df = df.withColumn("day", F.to_date(plan.day_of))
-    if plan.cluster_by:
-        df = df.hint("rebalance", *plan.partition_by)
-    return df.sortWithinPartitions(*plan.partition_by, *plan.sort_by)
+    grouped = df.hint("rebalance", *plan.partition_by)
+    return grouped.sortWithinPartitions(*plan.partition_by, *plan.sort_by)

@@ -94,7 +94,11 @@ def _rewrite(spark: SparkSession, name: str, affected: Column, change: Callable[
 
 
 def update_rows(spark: SparkSession, name: str, where: Column, values: Mapping[str, Column]) -> int:
-    """``UPDATE name SET ... WHERE ...``; rows where the condition is null stay."""
+    """``UPDATE name SET ... WHERE ...``; rows where the condition is null stay.
+
+    Like a delete it writes the whole table anew, so collect many changes into
+    one condition; returns the number of rows changed.
+    """
     types = {f.name: f.dataType for f in spark.table(name).schema.fields}
 
     def change(rows: DataFrame) -> DataFrame:

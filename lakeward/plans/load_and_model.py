@@ -52,14 +52,15 @@ def ingest(
     done.target = "large" if layout.is_large(rows, size) else "small"
     seen = Observation()
     stamped = layout.stamp(df, tenant_id, source_type, as_of)
-    if done.target == "large":
-        stamped = sinks.grouped_by(stamped)
+    # A small load is merged into few files, a large one grouped by tenant.
+    large = done.target == "large"
+    stamped = sinks.grouped_by(stamped) if large else stamped.hint("rebalance")
     # Observed after the last shuffle: a map task that runs again after a lost
     # executor would be counted twice.
     watched = stamped.observe(
         seen, F.count(F.lit(1)).alias("rows"), F.sum(layout.row_bytes(stamped)).alias("bytes")
     )
-    if done.target == "large":
+    if large:
         sinks.write_files(watched, path)
     else:
         sinks.append_or_create(watched, table)

@@ -100,9 +100,13 @@ def infer_types(df: DataFrame) -> T.StructType:
 
 
 def csv_schema(spark: SparkSession, path: str, **options) -> dict[str, str]:
-    """Column types as the first ``SAMPLE_ROWS`` rows suggest them."""
+    """Column types as the first ``SAMPLE_ROWS`` rows suggest them.
+
+    ``take`` reads one partition after the other until it has enough, where a
+    ``limit`` inside a larger plan would start a task for every split.
+    """
     text = csv_text(spark, path, **options)
-    sample = text.limit(SAMPLE_ROWS)
+    sample = spark.createDataFrame(text.take(SAMPLE_ROWS), text.schema)
     cleaned = sample.select(
         *[
             F.when(~F.col(f"`{n}`").isin(DEFAULT_NA_VALUES), F.col(f"`{n}`")).alias(n)
