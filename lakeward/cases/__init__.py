@@ -32,6 +32,7 @@ _MODULES = [
     "metering",
     "workload",
     "streaming",
+    "statements",
 ]
 
 

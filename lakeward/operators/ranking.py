@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from lakeward.session import stage
 
@@ -204,11 +204,12 @@ def _top_per_salt(
 def add_ranks(df: DataFrame, ranks: dict[str, Sequence[Column]]) -> DataFrame:
     """Several independent ``row_number() over (order by ...)`` on one result.
 
-    The result is staged and its rows counted: plain windows up to
+    The result is staged and its rows counted on the way: plain windows up to
     ``SMALL_RESULT_ROWS``, the distributed numbering beyond.
     """
-    result = stage(df, "ranked")
-    small = result.count() <= SMALL_RESULT_ROWS
+    seen = Observation()
+    result = stage(df.observe(seen, F.count(F.lit(1)).alias("rows")), "ranked")
+    small = seen.get["rows"] <= SMALL_RESULT_ROWS
     for name, order in ranks.items():
         if small:
             number = F.row_number().over(Window.orderBy(*order)).cast("bigint")

@@ -9,10 +9,12 @@ from __future__ import annotations
 import datetime as dt
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 AS_OF = dt.datetime(2024, 2, 10)
 
+_SCHEMAS: dict[tuple[str, str], T.StructType] = {}
+
 
 class Tables:
     """Given tables of one scale folder and the views derived from them."""
@@ -25,7 +27,17 @@ class Tables:
         return f"{self.folder}/{name}.parquet"
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        """A given table; its schema is inferred once per session, not once per query."""
+        path = self.path(name)
+        key = (self.spark.sparkContext.applicationId, path)
+        if key not in _SCHEMAS:
+            _SCHEMAS[key] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[key]).parquet(path)
+
+    def register(self) -> None:
+        """Temporary views of the record tables, for statements given as text."""
+        for name in ("rev", "patient_data", "disease_trends"):
+            getattr(self, name).createOrReplaceTempView(name)
 
     @cached_property
     def region(self) -> DataFrame:

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from lakeward.functions import columns as c
+from lakeward.functions import columns as c, sql
 from lakeward.plans import models as m
 
 
@@ -87,3 +87,17 @@ def test_recent_filter_reaches_the_scan(spark, small, kind):
         plan = found.select("event_id")._jdf.queryExecution().executedPlan().toString()
         assert "GreaterThanOrEqual(ts" in plan
         assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz>" in plan
+
+
+def test_statements_of_other_engines(spark):
+    sql.register_functions(spark)
+    df = spark.createDataFrame([('{"a": {"b": 3}}', dt.datetime(2024, 1, 7))], "j string, ts timestamp_ntz")
+    df.withColumnRenamed("j", "Some Text").createOrReplaceTempView("foreign_view")
+    found = sql.run_sql(
+        spark,
+        """SELECT json_extract_scalar("Some Text", '$.a.b') AS x, day_of_week(ts) AS d, :p AS p FROM foreign_view""",
+        {"p": 'say "x"'},
+    )
+    assert found.first()[:] == ("3", 0, 'say "x"')
+    # Outside such a statement double quotes still make strings.
+    assert spark.sql('select "text" as t').first().t == "text"

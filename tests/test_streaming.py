@@ -68,3 +68,17 @@ def test_staged_results_survive_and_are_released(spark):
     path = fresh_path(spark, "x")
     assert path.startswith(shared_root(spark))
     assert release(spark) >= 1
+
+
+class _Cluster:
+    """Just enough of a session: a cluster master and its settings."""
+
+    def __init__(self, folder):
+        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+        self.sparkContext = type("Context", (), {"master": "yarn", "applicationId": "x"})()
+
+
+def test_the_shared_folder_is_the_cluster_s_own():
+    assert shared_root(_Cluster("hdfs://shared/folder/")) == "hdfs://shared/folder"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_root(_Cluster(None))
