@@ -12,9 +12,11 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
-from lakeward.operators import layout
+from lakeward.operators import layout, quality
+from lakeward.plans.load_and_model import Ingestion
 
 
 def file_stream(
@@ -37,17 +39,34 @@ def ingest(
     tenant_id: str,
     source_type: str,
     as_of: dt.datetime | None = None,
-    validate: Callable[[DataFrame, int], None] | None = None,
-) -> int:
-    """Process every file that is there, then stop; returns the batches of this run."""
-    seen: list[int] = []
+    limits: quality.Limits | None = quality.Limits(),
+    before_write: Callable[[DataFrame, int], None] | None = None,
+) -> Ingestion:
+    """Process every file that is there, then stop; reports the batches of this run.
+
+    Each batch is checked like a batch load: issues are reported and do not
+    stop it. ``before_write`` may look at a batch, and fail it.
+    """
+    done = Ingestion(target=target)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        if validate is not None:
-            validate(batch, batch_id)
+        if before_write is not None:
+            before_write(batch, batch_id)
+        if limits is not None:
+            # Checked and written from one read; the batch size is bounded by
+            # the files per trigger, and a lost block is read again.
+            batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+            report = quality.validate(batch, limits)
+            done.issues += [f"batch {batch_id}: {message}" for message in report.messages]
+            done.bytes += report.bytes
+        seen = Observation()
         stamped = layout.stamp(batch, tenant_id, source_type, as_of)
-        stamped.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
-        seen.append(batch_id)
+        watched = stamped.observe(seen, F.count(F.lit(1)).alias("rows"))
+        watched.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        done.records += seen.get["rows"]
+        done.batches += 1
+        if limits is not None:
+            batch.unpersist()
 
     query = (
         stream.writeStream.foreachBatch(write)
@@ -56,7 +75,7 @@ def ingest(
         .start()
     )
     query.awaitTermination()
-    return len(seen)
+    return done
 
 
 def ingested(spark: SparkSession, target: str) -> DataFrame:

@@ -23,14 +23,19 @@ def test_batches_are_bounded_and_a_restart_adds_nothing(spark, small, folders):
     arriving, target, checkpoint = folders
     small.events.repartition(5).write.parquet(arriving)
     stream = ingest.file_stream(spark, arriving, small.events.schema, max_files=2)
-    assert ingest.ingest(stream, target, checkpoint, "a", "parquet", NOW) == 3
-    assert ingest.ingest(stream, target, checkpoint, "a", "parquet", NOW) == 0
+    first = ingest.ingest(stream, target, checkpoint, "a", "parquet", NOW)
+    assert (first.batches, first.records, first.issues) == (3, small.events.count(), [])
+    assert ingest.ingest(stream, target, checkpoint, "a", "parquet", NOW).batches == 0
     done = ingest.ingested(spark, target)
     assert done.count() == small.events.count()
     assert ingest.batches(spark, target).count() == 3
     small.events.limit(10).coalesce(1).write.mode("append").parquet(arriving)
-    assert ingest.ingest(stream, target, checkpoint, "a", "parquet", NOW) == 1
-    assert ingest.ingested(spark, target).count() == small.events.count() + 10
+    again = small.events.limit(1)
+    again.union(again).coalesce(1).write.mode("append").parquet(arriving)
+    second = ingest.ingest(stream, target, checkpoint, "a", "parquet", NOW)
+    assert (second.batches, second.records) == (1, 12)
+    assert any("repeated rows" in issue for issue in second.issues)
+    assert ingest.ingested(spark, target).count() == small.events.count() + 12
 
 
 def test_a_failed_batch_is_retried_without_a_second_copy(spark, small, folders):
@@ -45,7 +50,7 @@ def test_a_failed_batch_is_retried_without_a_second_copy(spark, small, folders):
             raise RuntimeError("lost")
 
     with pytest.raises(StreamingQueryException):
-        ingest.ingest(stream, target, checkpoint, "a", "parquet", NOW, validate=fail_on_second)
+        ingest.ingest(stream, target, checkpoint, "a", "parquet", NOW, before_write=fail_on_second)
     ingest.ingest(stream, target, checkpoint, "a", "parquet", NOW)
     done = ingest.ingested(spark, target)
     assert done.count() == small.events.count()
