@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakeward.llm import pii, sharding, simhash
+from lakeward.llm import decontaminate, embeddings, language, pii, quality, sharding, simhash
 from lakeward.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,11 +23,36 @@ def query(name: str) -> Callable[[Query], Query]:
     return register
 
 
+@query("op1_embeddings")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query("op2_language")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    network = language.fit(docs.where(~language.held_out()))
+    return language.identify(docs, network).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op3_quality")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    learn = ~quality.held_out()
+    model = quality.fit(docs.where(learn), table(spark, folder, "labels").where(learn))
+    return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 @query("op4_simhash")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query("op6_decontaminate")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op9_sharding")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign(table(spark, folder, "documents")).select(
