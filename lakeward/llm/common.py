@@ -47,15 +47,23 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def map_batches(
-    df: DataFrame, one: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
+    df: DataFrame,
+    one: Callable[[pa.RecordBatch], pa.RecordBatch | None],
+    schema: str,
+    rows: int | None = None,
 ) -> DataFrame:
-    """``df.mapInArrow`` for a function of one batch. Spark bounds a batch in rows and bytes."""
+    """``df.mapInArrow`` for a function of one batch.
+
+    Spark bounds a batch in rows and bytes; ``rows`` cuts it further where the
+    result of a batch is much larger than the batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = one(batch)
-            if out is not None and out.num_rows:
-                yield out
+            for at in range(0, batch.num_rows, rows or batch.num_rows or 1):
+                out = one(batch.slice(at, rows))
+                if out is not None and out.num_rows:
+                    yield out
 
     ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)

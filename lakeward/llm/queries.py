@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakeward.llm import decontaminate, embeddings, language, pii, quality, sharding, simhash
+from lakeward.llm import decontaminate, embeddings, language, pieces, pii, quality, sharding, simhash
 from lakeward.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,13 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op8_pieces")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = pieces.Vocabulary.load(pieces.vocabulary_path())
+    out = pieces.encode(table(spark, folder, "documents"), vocabulary)
+    return out.select("doc_id", F.size("ids").alias("n_pieces"), "ids", "exact")
+
+
 @query("op9_sharding")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.assign(table(spark, folder, "documents")).select(
