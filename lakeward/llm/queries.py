@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakeward.llm import decontaminate, embeddings, language, pieces, pii, quality, sharding, simhash
+from lakeward.llm import decontaminate, embeddings, grammar, language, pieces, pii, quality, sharding, simhash
 from lakeward.llm.common import table
+from lakeward.session import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,6 +54,13 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op7_grammar")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    path = fresh_path(spark, "token-ids")
+    grammar.write(table(spark, folder, "documents"), path, grammar.tokenizer_definition())
+    return grammar.read(spark, path)
+
+
 @query("op8_pieces")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = pieces.Vocabulary.load(pieces.vocabulary_path())
