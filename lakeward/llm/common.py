@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 import lakeward
 from lakeward.session import tune
@@ -49,7 +49,7 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def map_batches(
     df: DataFrame,
     one: Callable[[pa.RecordBatch], pa.RecordBatch | None],
-    schema: str,
+    schema: str | T.StructType,
     rows: int | None = None,
 ) -> DataFrame:
     """``df.mapInArrow`` for a function of one batch.
@@ -69,6 +69,16 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def filter_rows(df: DataFrame, keep: Callable[[pa.Array], list[bool]], text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that ``keep`` accepts by their text, with all their columns and no shuffle."""
+    at = df.columns.index(text_col)
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(keep(batch.column(at)), pa.bool_()))
+
+    return map_batches(df, one, df.schema)
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without decoding them."""
     wide = pa.types.is_large_string(column.type)

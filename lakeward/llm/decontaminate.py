@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lakeward.llm.common import documents, map_batches
+from lakeward.llm.common import documents, filter_rows, map_batches
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.7  # share of an item's BM25 weight that a passage must hold
@@ -278,10 +278,25 @@ def find_leaks(
     return spark.createDataFrame([], SCHEMA) if out is None else out
 
 
-def clean_rows(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` whose document leaks no item; a row without an id stays.
+def clean_rows(
+    df: DataFrame,
+    items: DataFrame,
+    text_col: str = "text",
+    item_id_col: str = "item_id",
+    question_col: str = "text",
+    answer_col: str | None = None,
+    threshold: float = THRESHOLD,
+    overlap: float = OVERLAP,
+) -> DataFrame:
+    """The rows of ``df`` whose text leaks no item, with all their columns and no shuffle.
 
-    Only ids of leaking documents move to the join.
+    Null and empty texts leak nothing and stay.
     """
-    leaked = find_leaks(df, items, id_col, text_col, **options).select(F.col("doc_id").alias("_leaked")).distinct()
-    return df.join(leaked, df[id_col] == leaked["_leaked"], "left_anti")
+    for index in build_indexes(items, item_id_col, question_col, answer_col):
+        shared = df.sparkSession.sparkContext.broadcast(index)
+
+        def keep(texts: pa.Array, shared=shared) -> list[bool]:
+            return [not shared.value.leaks(t, threshold, overlap) for t in texts.to_pylist()]
+
+        df = filter_rows(df, keep, text_col)
+    return df

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lakeward.llm.common import documents, id_remainder, map_batches, utf8
+from lakeward.llm.common import documents, filter_rows, id_remainder, map_batches, utf8
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -31,6 +31,7 @@ WINDOWS_PER_DOCUMENT = 3  # and windows of each
 EPOCHS = 5
 BATCH = 32
 UNKNOWN = "und"
+LEAST_SCORE = 0.3  # a text that resembles all languages about alike is in none of them
 _RUN = 16  # windows computed at a time: their responses stay in the processor's cache
 _SPAN = max(WIDTHS)
 _LETTER = re.compile(r"[^\W\d_]")
@@ -253,6 +254,18 @@ def identify(df: DataFrame, network: Network, id_col: str = "doc_id", text_col:
     return map_batches(documents(df, id_col, text_col), one, "doc_id long, lang_pred string, score double")
 
 
+def known_language(df: DataFrame, network: Network, least: float = LEAST_SCORE, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text has a learned language with a score of at least ``least``.
+
+    Rows with a null text, no letter, or a lower score go; all columns stay.
+    """
+
+    def keep(texts: pa.Array) -> list[bool]:
+        return [lang != UNKNOWN and score >= least for lang, score in network.predict(utf8(texts))]
+
+    return filter_rows(df, keep, text_col)
+
+
 def held_out(id_col: str = "doc_id"):
     """Whether a document is kept from the training; a row without an id is not."""
     return F.coalesce(id_remainder(id_col, 4) == 2, F.lit(False))

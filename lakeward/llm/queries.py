@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakeward.llm import decontaminate, embeddings, grammar, language, pieces, pii, quality, sharding, simhash
+from lakeward.llm import decontaminate, embeddings, grammar, language, pieces, pii, quality, sharding, simhash, suffixes
 from lakeward.llm.common import table
 from lakeward.session import fresh_path
 
@@ -49,6 +49,13 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query("op5_suffixes")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, folder, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )
+
+
 @query("op6_decontaminate")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
