@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from lakeward.cases import case
 from lakeward.cases.support import namespace
-from lakeward.operators import catalog, sinks
+from lakeward.operators import catalog, maintenance, sinks
 from lakeward.plans.fixtures import AS_OF, Tables, oracle
 from lakeward.session import fresh_path
+from lakeward.sources import files
 
 
 @case(
@@ -73,34 +76,69 @@ def statistics(t: Tables) -> DataFrame:
     return catalog.statistics(t.rev.select(columns), exact=True)
 
 
-@case("meta_stats_approx")
+def _approx_sql(name: str, ordered: bool) -> str:
+    exact = _stats_sql(name, "lineitem", ordered)
+    return f"select column_name, null_share, true as close, low_value, high_value, row_count from ({exact})"
+
+
+_LINEITEM = {
+    "l_orderkey": True, "l_partkey": True, "l_suppkey": True, "l_linenumber": True, "l_returnflag": False, "l_linestatus": False,
+}
+
+
+@case(
+    "meta_stats_approx",
+    " union all ".join(
+        [*(_approx_sql(n, o) for n, o in _LINEITEM.items()), "select null, null, true, null, null, count(*) from lineitem"]
+    ),
+)
 def statistics_approximate(t: Tables) -> DataFrame:
-    return catalog.statistics(t.lineitem)
+    """Exact figures as they are; an estimated distinct count within three standard errors (5 % each) is close."""
+    columns = list(_LINEITEM)
+    estimated = catalog.statistics(t.lineitem.select(columns))
+    exact = catalog.statistics(t.lineitem.select(columns), exact=True).select(
+        F.col("column_name").alias("c"), F.col("distinct_values").alias("d")
+    )
+    near = F.abs(F.col("distinct_values") - F.col("d")) <= F.lit(3 * 0.05) * F.col("d")
+    return estimated.join(exact, F.col("column_name").eqNullSafe(F.col("c"))).select(
+        "column_name", "null_share", F.when(F.col("column_name").isNull(), True).otherwise(near).alias("close"),
+        "low_value", "high_value", "row_count",
+    )
 
 
 @case(
     "meta_partitions",
-    oracle("select tenant_id, count(*) as rows from query_log group by tenant_id", "query_log"),
+    oracle("select tenant_id, count(*) as rows, true as listed from query_log group by tenant_id", "query_log"),
 )
 def partitions(t: Tables) -> DataFrame:
+    """Rows per partition, and whether its files and bytes are those that a listing shows."""
     path = fresh_path(t.spark, "by-tenant")
     sinks.write_partitioned(t.query_log.select("query_id", "row_count", "tenant_id"), path)
-    return catalog.partitions(t.spark.read.parquet(path), ["tenant_id"]).select("tenant_id", "rows")
+    listed = (
+        files.file_sizes(t.spark, path)
+        .groupBy(F.regexp_extract("path", "tenant_id=([^/]*)", 1).alias("tenant_id"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("size"))
+    )
+    found = catalog.partitions(t.spark.read.parquet(path), ["tenant_id"]).join(listed, "tenant_id", "full")
+    agree = F.coalesce((F.col("files") == F.col("n")) & (F.col("bytes") == F.col("size")), F.lit(False))
+    return found.select("tenant_id", "rows", agree.alias("listed"))
 
 
 @case(
     "meta_info",
     """select 'description' as part, 6::bigint as entries, cast(null as bigint) as rows from orders having count(*) > 0
+union all select 'history', 1, count(*) from orders
 union all select 'partitions', count(distinct o_orderstatus), count(*) from orders
 union all select 'stats', 7, count(*) from orders""",
 )
 def info(t: Tables) -> DataFrame:
     table = f"{namespace(t.spark)}.orders"
     t.orders.write.partitionBy("o_orderstatus").saveAsTable(table)
-    found = catalog.table_info(t.spark, table)
-    if found["history"] is not None:
+    if catalog.table_info(t.spark, table)["history"] is not None:
         raise RuntimeError("a table without snapshots has no history")
-    rows = {"description": F.lit(None), "stats": F.max("row_count"), "partitions": F.sum("rows")}
+    maintenance.snapshot(t.spark, table.split(".")[0], AS_OF)
+    found = catalog.table_info(t.spark, table)
+    rows = {"description": F.lit(None), "stats": F.max("row_count"), "partitions": F.sum("rows"), "history": F.sum("rows")}
     parts = [
         found[part].agg(
             F.lit(part).alias("part"),
@@ -109,7 +147,7 @@ def info(t: Tables) -> DataFrame:
         )
         for part in rows
     ]
-    return parts[0].union(parts[1]).union(parts[2])
+    return reduce(DataFrame.union, parts)
 
 
 @case(
@@ -148,15 +186,16 @@ def upsert(t: Tables) -> DataFrame:
     oracle(
         """with latest as (select tenant_id, config_key, config_value, updated_at from tenant_updates
   qualify row_number() over (partition by tenant_id, config_key order by updated_at desc, update_id desc) = 1)
-select tenant_id, string_agg(config_key || '=' || config_value, ',' order by config_key) as config, max(updated_at) as updated_at
-from latest group by tenant_id""",
+select tenant_id, (n - 1) // 2 as page, string_agg(config_key || '=' || config_value, ',' order by config_key) as config,
+  max(updated_at) as updated_at
+from (select *, row_number() over (partition by tenant_id order by config_key) as n from latest) group by tenant_id, page""",
         "tenant_updates",
     ),
 )
 def tenants(t: Tables) -> DataFrame:
-    table = catalog.tenant_table(catalog.upsert_settings(None, t.tenant_updates))
+    table = catalog.tenant_table(catalog.upsert_settings(None, t.tenant_updates), page_size=2)
     pairs = F.transform(F.map_entries("config"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return table.select("tenant_id", F.array_join(F.sort_array(pairs), ",").alias("config"), "updated_at")
+    return table.select("tenant_id", "page", F.array_join(F.sort_array(pairs), ",").alias("config"), "updated_at")
 
 
 @case(
@@ -172,3 +211,31 @@ def catalogs(t: Tables) -> DataFrame:
         F.col("event_id").alias("link_id"),
     )
     return catalog.catalog_index(links)
+
+
+@case(
+    "meta_overview",
+    oracle(
+        """with tenants as (
+  select tenant_id, count(distinct config_key) as settings, 0 as datasets, 0 as catalogs, 0 as statements from tenant_updates group by 1
+  union all select tenant_id, 0, 0, 0, count(*) from query_log group by 1
+  union all select tenant_id, 0, 0, count(*), 0 from (
+    select user_id, arg_max(concat('tenant_', event_type), event_id) as tenant_id from (
+      select * from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1) group by 1) group by 1
+  union all select concat('tenant_', lower(o_orderstatus)), 0, count(distinct o_orderstatus), 0, 0 from orders group by 1)
+select tenant_id, sum(settings)::bigint as settings, sum(datasets)::bigint as datasets, sum(catalogs)::bigint as catalogs,
+  sum(statements)::bigint as statements from tenants group by tenant_id""",
+        "tenant_updates",
+        "query_log",
+    ),
+)
+def overview(t: Tables) -> DataFrame:
+    links = t.events.select(
+        F.concat(F.lit("catalog_"), F.col("user_id").cast("string")).alias("catalog_name"),
+        F.concat(F.lit("tenant_"), F.col("event_type")).alias("tenant_id"),
+        F.col("ts").alias("linked_at"),
+        F.col("event_id").alias("link_id"),
+    )
+    datasets = t.orders.select("o_orderstatus").distinct().select(F.concat(F.lit("tenant_"), F.lower("o_orderstatus")).alias("tenant_id"))
+    settings = catalog.upsert_settings(None, t.tenant_updates)
+    return catalog.tenant_overview(settings, datasets, links, t.query_log)

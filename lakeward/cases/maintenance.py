@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from lakeward.cases import case
 from lakeward.cases.models import PATIENT_DAILY
 from lakeward.cases.support import namespace
-from lakeward.operators import maintenance
+from lakeward.operators import maintenance, sinks
 from lakeward.plans import models as m
 from lakeward.plans.fixtures import AS_OF, Tables, oracle
 from lakeward.session import stage
@@ -49,10 +50,50 @@ def compact_partitioned(t: Tables) -> DataFrame:
     rows = t.events.select("event_id", "value", "event_type").repartition(8)
     maintenance.publish(rows, name, partition_by=("event_type",))
     maintenance.compact(t.spark, name)
-    counted = t.spark.table(maintenance.current_version(t.spark, name)).groupBy("event_type", "_metadata.file_path").agg(F.count(F.lit(1)).alias("n"))
+    counted = t.spark.table(name).groupBy("event_type", "_metadata.file_path").agg(F.count(F.lit(1)).alias("n"))
     return counted.groupBy("event_type").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("files"))
 
 
+LIFE = """select o_orderkey, o_custkey, case when o_orderstatus = 'P' then 'X' else o_orderstatus end as o_orderstatus, o_totalprice
+from orders where not (o_totalprice > 300000)
+union all select c_custkey, c_custkey, 'new', c_acctbal from customer"""
+
+
+def _life(t: Tables, partition_by: tuple[str, ...]) -> DataFrame:
+    """A table made by a sink, then appended to, updated, deleted from, compacted, appended to, refreshed."""
+    name = f"{namespace(t.spark)}.orders"
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
+    orders = t.orders.select(columns)
+    low, high = orders.where("o_orderkey % 2 = 0"), orders.where("o_orderkey % 2 <> 0")
+    if partition_by:
+        maintenance.publish(low, name, partition_by=partition_by)
+    else:
+        sinks.append_or_create(low, name)
+    sinks.append_or_create(high, name, by_name=True)
+    maintenance.update_rows(t.spark, name, F.col("o_orderstatus") == "P", {"o_orderstatus": F.lit("X")})
+    maintenance.delete_rows(t.spark, name, F.col("o_totalprice") > 300000)
+    maintenance.compact(t.spark, name)
+    more = t.customer.select(
+        F.col("c_custkey").alias("o_orderkey"), F.col("c_custkey").alias("o_custkey"),
+        F.lit("new").alias("o_orderstatus"), F.col("c_acctbal").alias("o_totalprice"),
+    )
+    sinks.append_or_create(more, name, by_name=True)
+    before = t.spark.table(name)
+    if not maintenance.refresh_view(t.spark, name, lambda: before, AS_OF):
+        raise RuntimeError("a table that was never refreshed is due")
+    return t.spark.table(name).select(columns)
+
+
+@case("maint_life", LIFE)
+def life(t: Tables) -> DataFrame:
+    return _life(t, ())
+
+
+@case("maint_life_partitioned", LIFE)
+def life_partitioned(t: Tables) -> DataFrame:
+    return _life(t, ("o_orderstatus",))
+
+
 @case(
     "maint_snapshot",
     """select '20240201_000000' as snapshot_ts, p_partkey, p_size from part
@@ -64,7 +105,9 @@ def snapshot(t: Tables) -> DataFrame:
     maintenance.snapshot(t.spark, ns, dt.datetime(2024, 2, 1))
     maintenance.snapshot(t.spark, ns, AS_OF)
     maintenance.snapshot(t.spark, ns, AS_OF)  # a rerun replaces its copy
-    return t.spark.table(f"{ns}.part_snapshots")
+    stamps = [r.snapshot_ts for r in maintenance.history(t.spark, f"{ns}.part").collect()]
+    parts = [maintenance.read_snapshot(t.spark, f"{ns}.part", s).select(F.lit(s).alias("snapshot_ts"), "p_partkey", "p_size") for s in stamps]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @case("maint_expire", "select '20240210_000000' as snapshot_ts, count(*) as rows from part")
@@ -86,7 +129,7 @@ def history(t: Tables) -> DataFrame:
     ns = namespace(t.spark)
     t.customer.filter("c_acctbal > 0").write.saveAsTable(f"{ns}.customer")
     maintenance.snapshot(t.spark, ns, dt.datetime(2024, 2, 1))
-    t.customer.filter("not c_acctbal > 0").write.insertInto(f"{ns}.customer")
+    t.customer.filter("not coalesce(c_acctbal > 0, false)").write.insertInto(f"{ns}.customer")
     maintenance.snapshot(t.spark, ns, AS_OF)
     return maintenance.history(t.spark, f"{ns}.customer")
 

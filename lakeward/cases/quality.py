@@ -7,9 +7,9 @@ import datetime as dt
 from pyspark.sql import DataFrame, functions as F
 
 from lakeward.cases import case
-from lakeward.cases.models import with_health
-from lakeward.operators import layout, quality as q
-from lakeward.operators.ranking import number_rows
+from lakeward.cases.models import STG_REV, with_health
+from lakeward.cases.support import namespace
+from lakeward.operators import layout, maintenance, quality as q
 from lakeward.plans import expectations, models as m
 from lakeward.plans.fixtures import AS_OF, Tables, oracle
 
@@ -110,65 +110,62 @@ def profile(t: Tables) -> DataFrame:
 @case(
     "dq_summary",
     with_health(
-        """select 'stg_rev_numbered' as model_name, count(*) as total_rows, 0::bigint as null_patient_ids,
-  count(*) filter (where disease is null) as null_diseases,
+        """select 'stg_rev' as model_name, count(*) as total_rows, count(*) filter (where disease is null) as null_diseases,
   count(*) filter (where outcome_variable not in ('Positive', 'Negative')) as invalid_outcomes,
-  count(*) filter (where age not between 5 and 120) as invalid_ages, 0::bigint as invalid_rates from rev
+  count(*) filter (where age not between 5 and 120) as invalid_ages, 0::bigint as invalid_rates, 0::bigint as invalid_totals from rev
 union all
-select 'mart_disease_analytics', count(*), 0, 0, 0, 0, count(*) filter (where positivity_rate not between 0 and 30) from mart
+select 'mart_disease_analytics', count(*), 0, 0, 0, count(*) filter (where positivity_rate not between 0 and 30),
+  count(*) filter (where total_cases <= 0) from mart
 having count(*) filter (where positivity_rate not between 0 and 30) > 0"""
     ),
 )
 def summary(t: Tables) -> DataFrame:
-    # Borders are tightened so that both models have failures to report.
-    records = t.rev.select("row_key", "disease", "age", "outcome_variable")
-    numbered = number_rows(records, [F.col("row_key").asc_nulls_last()], "patient_id")
-    mart = m.disease_metrics(m.clean_health(t.rev, AS_OF), AS_OF)
-    rate = F.col("positivity_rate")
+    # The models as they lie in their tables. Borders are tightened so that both have failures to report.
+    ns = namespace(t.spark)
+    maintenance.materialize(t.rev.select("disease", "age", "outcome_variable"), f"{ns}.stg_rev", "table")
+    maintenance.materialize(m.disease_metrics(m.clean_health(t.rev, AS_OF), AS_OF), f"{ns}.mart", "table")
     return q.summary(
         {
-            "stg_rev_numbered": (
-                numbered,
+            "stg_rev": (
+                t.spark.table(f"{ns}.stg_rev"),
                 {
-                    "null_patient_ids": F.col("patient_id").isNull(),
                     "null_diseases": F.col("disease").isNull(),
                     "invalid_outcomes": ~F.col("outcome_variable").isin("Positive", "Negative"),
                     "invalid_ages": ~F.col("age").between(5, 120),
                 },
             ),
             "mart_disease_analytics": (
-                mart,
+                t.spark.table(f"{ns}.mart"),
                 {
                     "null_diseases": F.col("disease_name").isNull(),
-                    "invalid_rates": ~rate.between(0, 30),
+                    "invalid_rates": ~F.col("positivity_rate").between(0, 30),
+                    "invalid_totals": F.col("total_cases") <= 0,
                 },
             ),
         }
     )
 
 
+SEVERITY = [
+    q.Check("not_null", ("age",), severity="warn"),
+    q.Check("accepted_values", ("gender",), ("Male", "Female")),
+    q.Check("accepted_values", ("fever",), ("Yes", "No")),
+]
+
+
 @case(
     "dq_severity",
     oracle(
         """with counted as (
-  select 'age_not_null' as check_name, 'warn' as severity, count(*) as failures from rev where age is null
-  union all select 'gender_accepted', 'error', count(*) from rev where gender not in ('Male', 'Female')
-  union all select 'fever_accepted', 'error', count(*) from rev where fever not in ('Yes', 'No'))
+  select 'not_null_age' as check_name, 'warn' as severity, count(*) as failures from rev where age is null
+  union all select 'accepted_values_gender', 'error', count(*) from rev where gender not in ('Male', 'Female')
+  union all select 'accepted_values_fever', 'error', count(*) from rev where fever not in ('Yes', 'No'))
 select *, case when failures > 0 then severity else 'pass' end as result from counted""",
         "rev",
     ),
 )
 def severity(t: Tables) -> DataFrame:
-    def odd(column: str, *accepted: str) -> DataFrame:
-        return t.rev.filter(~F.col(column).isin(*accepted))
-
-    return q.with_severity(
-        {
-            "age_not_null": (q.null_rows(t.rev, "age"), "warn"),
-            "gender_accepted": (odd("gender", "Male", "Female"), "error"),
-            "fever_accepted": (odd("fever", "Yes", "No"), "error"),
-        }
-    )
+    return q.run_checks(t.rev, SEVERITY)  # one pass for all of them
 
 
 @case(
@@ -202,13 +199,17 @@ def all_null(t: Tables) -> DataFrame:
     )
 
 
+_LINEITEM = """l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"""
+
+
 @case(
     "dq_dup_rows",
-    """select cast(sum(n - 1) as bigint) as duplicate_rows from (
-  select count(*) as n from lineitem group by l_partkey, l_suppkey, l_quantity, l_returnflag)""",
+    f"""with twice as (select {_LINEITEM} from lineitem union all select {_LINEITEM} from lineitem where l_linenumber = 1)
+select cast(sum(n - 1) as bigint) as duplicate_rows from (select count(*) as n from twice group by {_LINEITEM})""",
 )
 def duplicate_rows(t: Tables) -> DataFrame:
-    return q.duplicate_rows(t.lineitem.select("l_partkey", "l_suppkey", "l_quantity", "l_returnflag"))
+    """Whole rows; those of the first line of each order are there twice."""
+    return q.duplicate_rows(t.lineitem.unionByName(t.lineitem.where("l_linenumber = 1")))
 
 
 MIXED = """case event_type when 'click' then cast(event_id as varchar) when 'view' then cast(value as varchar) || '5'
@@ -291,3 +292,45 @@ def source_checks(t: Tables) -> DataFrame:
 @case("dq_lake_checks", oracle(_checks_sql(expectations.PATIENT_DATA, "patient_data"), "patient_data"))
 def lake_checks(t: Tables) -> DataFrame:
     return q.run_checks(t.patient_data, expectations.PATIENT_DATA)
+
+
+@case(
+    "dq_model_checks",
+    oracle(_checks_sql(expectations.DISEASE_TRENDS, "disease_trends"), "disease_trends"),
+)
+def model_checks(t: Tables) -> DataFrame:
+    return q.run_checks(t.disease_trends, expectations.DISEASE_TRENDS)
+
+
+@case(
+    "dq_staging_checks",
+    oracle(
+        _checks_sql(expectations.STG_REV, "stg").replace("from stg", f"from ({STG_REV}) as stg"),
+        "rev",
+    ),
+)
+def staging_checks(t: Tables) -> DataFrame:
+    return q.run_checks(m.stg_rev(t.rev), expectations.STG_REV)
+
+
+def _fresh_sql(source: str, moment: str, limits: tuple[dt.timedelta, dt.timedelta]) -> str:
+    warn, error = (int(limit.total_seconds() // 3600) for limit in limits)
+    older = f"max({moment}) < timestamp '2024-02-10 00:00:00' - interval"
+    return f"""select '{source}' as source, max({moment}) as newest,
+  case when {older} '{error}' hour then 'error' when {older} '{warn}' hour then 'warn' else 'pass' end as status from {source}"""
+
+
+@case(
+    "dq_source_freshness",
+    oracle(
+        _fresh_sql("rev", "loaded_at", expectations.REV_FRESHNESS)
+        + " union all "
+        + _fresh_sql("patient_data", "recorded_at", expectations.PATIENT_FRESHNESS),
+        "rev",
+        "patient_data",
+    ),
+)
+def source_freshness(t: Tables) -> DataFrame:
+    rev = q.freshness(t.rev, "loaded_at", *expectations.REV_FRESHNESS, AS_OF)
+    patients = q.freshness(t.patient_data, "recorded_at", *expectations.PATIENT_FRESHNESS, AS_OF)
+    return rev.select(F.lit("rev").alias("source"), "*").union(patients.select(F.lit("patient_data"), "*"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lakeward.cases import case
+from lakeward.cases.models import REV_METRICS, REV_SUMMARY, STG_HEALTH, STG_REV, with_health
 from lakeward.cases.support import namespace
 from lakeward.operators import layout, maintenance, sinks
 from lakeward.plans import load_and_model, models as m
@@ -98,8 +99,9 @@ def ctas(t: Tables) -> DataFrame:
     ns = namespace(t.spark)
     query = f"""select o_orderstatus, count(*) as n, max(o_totalprice) as highest
         from parquet.`{t.path('orders')}` group by o_orderstatus"""
-    if not sinks.create_table_as(t.spark, f"{ns}.totals", query, {"purpose": "check"}):
-        raise RuntimeError("table was not created")
+    problem = sinks.create_table_as(t.spark, f"{ns}.totals", query, {"purpose": "check"})
+    if problem:
+        raise RuntimeError(problem)
     return t.spark.table(f"{ns}.totals")
 
 
@@ -110,8 +112,9 @@ def ctas(t: Tables) -> DataFrame:
 def insert_select(t: Tables) -> DataFrame:
     table = f"{namespace(t.spark)}.ids"
     sinks.append_or_create(t.customer.select(F.col("c_custkey").alias("id")), table)
-    if not sinks.insert_select(t.spark, table, f"select s_suppkey from parquet.`{t.path('supplier')}`"):
-        raise RuntimeError("rows were not inserted")
+    problem = sinks.insert_select(t.spark, table, f"select s_suppkey from parquet.`{t.path('supplier')}`")
+    if problem:
+        raise RuntimeError(problem)
     return t.spark.table(table)
 
 
@@ -203,44 +206,89 @@ def by_size(t: Tables) -> DataFrame:
 def arranged(t: Tables) -> DataFrame:
     path = fresh_path(t.spark, "arranged")
     stamped = layout.stamp(t.events.select("event_id", "event_type", "ts"), "tenant_a", "parquet", AS_OF)
-    sinks.write_arranged(stamped, path, rows=layout.CLUSTER_ROWS + 1)
+    sinks.write_arranged(stamped, path)
     return t.spark.read.parquet(path)
 
 
 @case(
     "agg_ingest",
-    """select count(*) as records, 1::bigint as batches,
-  cast(sum(24 + octet_length(encode(event_type)) + octet_length(encode('tenant_a')) + octet_length(encode('parquet')) + 8) as bigint) as bytes,
-  0::bigint as errors, 'small' as target from events having count(*) <= 1000000""",
+    """with load as (select count(*) as records,
+  cast(sum(24 + octet_length(encode(event_type)) + octet_length(encode('tenant_a')) + octet_length(encode('parquet')) + 8) as bigint) as bytes from events)
+select records, 1::bigint as batches, bytes, 0::bigint as errors,
+  case when records > 1000000 or bytes > 524288000 then 'large' else 'small' end as size_class from load""",
 )
 def ingest_metrics(t: Tables) -> DataFrame:
     rows = t.events.select("event_id", "user_id", "event_type", "value")
-    done = load_and_model.ingest(
-        rows, f"{namespace(t.spark)}.events", fresh_path(t.spark, "load"), "tenant_a", "parquet", AS_OF
-    )
+    done = load_and_model.ingest(rows, f"{namespace(t.spark)}.events", "tenant_a", "parquet", AS_OF)
     return t.spark.createDataFrame(
-        [(done.records, done.batches, done.bytes, done.errors, done.target)],
-        "records bigint, batches bigint, bytes bigint, errors bigint, target string",
+        [(done.records, done.batches, done.bytes, done.errors, done.size_class)],
+        "records bigint, batches bigint, bytes bigint, errors bigint, size_class string",
     )
 
 
 @case(
-    "m_load_and_model",
-    oracle(
-        """with staged as (select gender, case when outcome_variable = 'Positive' then 1 when outcome_variable = 'Negative' then 0 end as outcome_binary,
-  case when fever = 'Yes' then 1 else 0 end as fever_flag, age from rev)
-select gender, count(*) as total_patients, avg(outcome_binary) as positive_rate, avg(fever_flag) as avg_fever, avg(age) as avg_age
-from staged group by gender order by gender limit 5""",
-        "rev",
-    ),
+    "sink_ingest",
+    """select event_id, event_type, 'tenant_a' as tenant_id, 'first' as load_id from events
+union all select c_custkey, c_mktsegment, 'tenant_a', 'second' from customer""",
 )
-def load_and_run(t: Tables) -> DataFrame:
+def ingest_loads(t: Tables) -> DataFrame:
+    """Loads of any size end in one table; a repeated load replaces itself."""
+    table = f"{namespace(t.spark)}.loads"
+    events = t.events.select("event_id", "event_type")
+    people = t.customer.select(F.col("c_custkey").alias("event_id"), F.col("c_mktsegment").alias("event_type"))
+    for rows, load_id in ((events, "first"), (people, "second"), (events, "first")):
+        done = load_and_model.ingest(rows, table, "tenant_a", "parquet", AS_OF, load_id=load_id)
+        if done.errors:
+            raise RuntimeError(done.issues[-1])
+    return t.spark.table(table).select("event_id", "event_type", "tenant_id", "load_id")
+
+
+@case(
+    "sink_upload",
+    """select l_orderkey as id, l_returnflag as kind from lineitem union all select s_suppkey, s_name from supplier""",
+)
+def uploaded(t: Tables) -> DataFrame:
+    """A replacing upload, then a large and a small one: both are there."""
+    table = f"{namespace(t.spark)}.up"
+    small = t.read("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("kind"))
+    large = t.read("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("kind"))
+    load_and_model.upload(small, table, mode="replace")
+    load_and_model.upload(large, table, mode="replace")
+    load_and_model.upload(small, table, mode="append")
+    return t.spark.table(table)
+
+
+def _pipeline(t: Tables, model: str) -> DataFrame:
+    """Load the records, run all models, and read one of them back."""
     ns = namespace(t.spark)
     sinks.overwrite(t.rev, f"{ns}.rev")
-    load_and_model.run_models(t.spark, t.spark.table(f"{ns}.rev"), ns, "row_key", AS_OF)
-    mart = t.spark.table(f"{ns}.mart_rev_metrics")
-    columns = ["gender", "total_patients", "positive_rate", "avg_fever", "avg_age"]
-    return mart.select(columns).orderBy(F.col("gender").asc_nulls_last()).limit(5)
+    names = load_and_model.run_models(t.spark, t.spark.table(f"{ns}.rev"), ns, "row_key", AS_OF)
+    return t.spark.table(names[model])
+
+
+@case("m_load_and_model", oracle(REV_METRICS, "rev"))
+def load_and_run(t: Tables) -> DataFrame:
+    return _pipeline(t, "mart_rev_metrics")
+
+
+@case("m_pipeline", with_health("select * from mart"))
+def pipeline(t: Tables) -> DataFrame:
+    return _pipeline(t, "mart_disease_analytics")
+
+
+@case("m_pipeline_summary", oracle(REV_SUMMARY, "rev"))
+def pipeline_summary(t: Tables) -> DataFrame:
+    return _pipeline(t, "mart_rev_summary")
+
+
+@case("m_pipeline_staging", oracle(STG_REV, "rev"))
+def pipeline_staging(t: Tables) -> DataFrame:
+    return _pipeline(t, "stg_rev")
+
+
+@case("m_pipeline_health", oracle(STG_HEALTH, "rev"))
+def pipeline_health(t: Tables) -> DataFrame:
+    return _pipeline(t, "stg_healthcare_data")
 
 
 @case(

@@ -67,7 +67,11 @@ union all select 3, 'nation_text', 'bigint', count(case when c_acctbal >= 2000 t
 union all select 4, 'c_mktsegment', 'string', count(c_mktsegment) from customer""",
 )
 def csv_schema(t: Tables) -> DataFrame:
-    return files.schema_report(files.read_csv(t.spark, _as_csv(_customers_with_tokens(t))))
+    path = _as_csv(_customers_with_tokens(t))
+    found = files.csv_schema(t.spark, path)
+    known = F.create_map(*[F.lit(x) for pair in found.items() for x in pair])
+    report = files.schema_report(files.read_csv(t.spark, path))
+    return report.withColumn("data_type", F.element_at(known, F.col("column_name")))
 
 
 @case("src_csv_arrow", "select o_orderkey, o_custkey, o_orderstatus, o_totalprice from orders")
@@ -177,12 +181,12 @@ def values(t: Tables) -> DataFrame:
 
 @case(
     "src_series",
-    """with numbers as (select unnest(generate_series(1, (select count(*) from orders))) as n)
-select 'P' || n as patient_id, (['Flu', 'Cold', 'Headache', 'Allergy'])[1 + (n % 4)] as disease, 20 + (n % 50) as age,
-  (['Male', 'Female'])[1 + (n % 2)] as gender, (['Positive', 'Negative'])[1 + (n % 2)] as outcome from numbers""",
+    """select 'P' || o_orderkey as patient_id, (['Flu', 'Cold', 'Headache', 'Allergy'])[1 + (o_orderkey % 4)] as disease,
+  20 + (o_orderkey % 50) as age, (['Male', 'Female'])[1 + (o_orderkey % 2)] as gender,
+  (['Positive', 'Negative'])[1 + (o_orderkey % 2)] as outcome from orders""",
 )
 def series(t: Tables) -> DataFrame:
-    return generated.local_patients(generated.series(t.spark, t.orders.count()))
+    return generated.local_patients(t.orders.select(F.col("o_orderkey").alias("id")))
 
 
 def _draw(what: str, below: int) -> str:

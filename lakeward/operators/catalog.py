@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lakeward.operators import maintenance
-from lakeward.operators.joins import with_group_totals
+from lakeward.operators.ranking import number_within
 from lakeward.operators.sinks import append_or_create
 from lakeward.sources.files import schema_report
 from lakeward.sources.tables import quoted
@@ -161,22 +161,37 @@ def upsert_settings(current: DataFrame | None, updates: DataFrame) -> DataFrame:
 
 
 def tenant_table(settings: DataFrame, page_size: int = 1000) -> DataFrame:
-    """Tenants with their settings as maps of about ``page_size`` keys at most.
+    """Tenants with their settings as maps of ``page_size`` keys, in numbered pages.
 
-    A tenant has one page (0) unless its keys exceed that; a tenant with very
-    many keys gets as many pages as it needs instead of one huge cell.
+    The keys of a tenant are numbered in order and every page but the last is
+    full, so a tenant with very many keys is many rows and never one huge cell.
     """
-    counted = with_group_totals(settings, ["tenant_id"], F.count(F.lit(1)).alias("_keys"))
-    pages = F.ceil(F.col("_keys") / page_size)
-    page = F.pmod(F.xxhash64("config_key"), pages)
+    order = [F.col("config_key").asc_nulls_last()]
+    numbered = number_within(settings, ["tenant_id"], order, "_n")
     entry = F.struct("config_key", "config_value")
-    return counted.groupBy("tenant_id", page.alias("page")).agg(
+    return numbered.groupBy("tenant_id", F.expr(f"(_n - 1) div {page_size}").alias("page")).agg(
         F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("config"),
         F.min("created_at").alias("created_at"),
         F.max("updated_at").alias("updated_at"),
     )
 
 
+def tenant_overview(settings: DataFrame, datasets: DataFrame, links: DataFrame, log: DataFrame) -> DataFrame:
+    """Per tenant: settings, datasets, catalogs it owns, statements and rows billed, in one result.
+
+    The parts are counts; the lists are ``tenant_table``, the registry,
+    ``catalog_index`` and the log themselves.
+    """
+    parts = {
+        "settings": settings.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("settings")),
+        "datasets": datasets.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("datasets")),
+        "catalogs": catalog_index(links).groupBy("tenant_id").agg(F.count(F.lit(1)).alias("catalogs")),
+        "statements": log.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("statements")),
+    }
+    joined = reduce(lambda a, b: a.join(b, "tenant_id", "full"), parts.values())
+    return joined.select("tenant_id", *[F.coalesce(n, F.lit(0)).alias(n) for n in parts])
+
+
 def catalog_index(links: DataFrame) -> DataFrame:
     """Owner of every catalog: the tenant of its latest link."""
     recency = F.struct("linked_at", "link_id")
@@ -198,5 +213,5 @@ def dataset_overview(frames: Mapping[str, DataFrame]) -> DataFrame:
 
 __all__ = [
     "analyze", "catalog_index", "dataset_overview", "describe", "list_catalogs", "list_namespaces", "list_tables", "partitions",
-    "register_dataset", "schema_report", "statistics", "table_info", "tenant_table", "upsert_settings",
+    "register_dataset", "schema_report", "statistics", "table_info", "tenant_overview", "tenant_table", "upsert_settings",
 ]

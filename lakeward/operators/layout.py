@@ -12,11 +12,11 @@ from lakeward.functions import columns as c
 # Types a lake table keeps; anything else is stored as text.
 LAKE_TYPES = {"string", "bigint", "int", "double", "float", "boolean", "timestamp", "timestamp_ntz"}
 
-# Borders between small and large.
+# Borders between small and large. They label a load; nothing is
+# written differently for it.
 LOAD_ROWS = 1_000_000
 LOAD_BYTES = 500 * 1024 * 1024
 UPLOAD_ROWS = 100_000
-CLUSTER_ROWS = 100_000
 
 
 def stamp(
@@ -91,9 +91,9 @@ def upload_target(rows: Column) -> Column:
     return F.when(rows > UPLOAD_ROWS, "large").otherwise("small")
 
 
-def is_large(rows: int, size: int) -> bool:
+def size_class(rows: int, size: int) -> str:
     """``load_target`` for figures that are already known."""
-    return rows > LOAD_ROWS or size > LOAD_BYTES
+    return "large" if rows > LOAD_ROWS or size > LOAD_BYTES else "small"
 
 
 @dataclass(frozen=True)
@@ -102,15 +102,11 @@ class Strategy:
 
     partition_by: list[str]
     sort_by: list[str]
-    cluster_by: list[str]
     day_of: str | None
 
 
-def strategy(df: DataFrame, rows: int, partitioning: bool = True) -> Strategy:
-    """Partition by tenant and the day of the first timestamp, sort by load time.
-
-    Clustering by tenant is added above ``CLUSTER_ROWS`` rows.
-    """
+def strategy(df: DataFrame, partitioning: bool = True) -> Strategy:
+    """Partition by tenant and the day of the first timestamp, sort by load time."""
     moments = [
         f.name
         for f in df.schema.fields
@@ -120,7 +116,6 @@ def strategy(df: DataFrame, rows: int, partitioning: bool = True) -> Strategy:
     return Strategy(
         partition_by=["tenant_id", *(["day"] if day_of else [])],
         sort_by=["ingestion_timestamp"],
-        cluster_by=["tenant_id"] if rows > CLUSTER_ROWS else [],
         day_of=day_of,
     )
 

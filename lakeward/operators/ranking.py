@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lakeward.session import stage
 
@@ -20,9 +20,6 @@ from lakeward.session import stage
 _POSITION_BITS = 33
 _PLACE, _RANGE = "_place", "_range"
 
-# Up to this many rows a single-task window is cheaper than a range pass.
-SMALL_RESULT_ROWS = 100_000
-
 
 def _placed(df: DataFrame, order: Sequence[Column], keep: Sequence[str] | None = None) -> DataFrame:
     """Rows staged in global order with their range and place in it."""
@@ -204,18 +201,12 @@ def _top_per_salt(
 def add_ranks(df: DataFrame, ranks: dict[str, Sequence[Column]]) -> DataFrame:
     """Several independent ``row_number() over (order by ...)`` on one result.
 
-    The result is staged and its rows counted on the way: plain windows up to
-    ``SMALL_RESULT_ROWS``, the distributed numbering beyond.
+    The result is staged once; every ranking is the distributed numbering,
+    which adaptive execution shrinks to one range where the result is small.
     """
-    seen = Observation()
-    result = stage(df.observe(seen, F.count(F.lit(1)).alias("rows")), "ranked")
-    small = seen.get["rows"] <= SMALL_RESULT_ROWS
+    result = stage(df, "ranked")
     for name, order in ranks.items():
-        if small:
-            number = F.row_number().over(Window.orderBy(*order)).cast("bigint")
-            result = result.withColumn(name, number)
-        else:
-            result = number_rows(result, order, name)
+        result = number_rows(result, order, name)
     return result
 
 

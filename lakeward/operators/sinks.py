@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakeward.operators import layout
+from lakeward.operators import layout, maintenance
+from lakeward.session import stage
 
 # Kinds of target.
 LOCAL, LAKE = "local", "lake"
@@ -24,14 +25,17 @@ def append_or_create(df: DataFrame, table: str, by_name: bool = False) -> None:
     if not spark.catalog.tableExists(table):
         df.write.saveAsTable(table)
     elif by_name:
-        df.write.mode("append").saveAsTable(table)
+        columns = spark.table(table).columns
+        if {c.lower() for c in columns} != {c.lower() for c in df.columns}:
+            raise ValueError(f"{table} has the columns {columns}, the rows have {df.columns}")
+        df.select(*[f"`{c}`" for c in columns]).write.insertInto(table)
     else:
         df.write.insertInto(table)
 
 
 def overwrite(df: DataFrame, table: str) -> None:
-    """Replace a table and its schema. The frame must not read that table."""
-    df.write.mode("overwrite").saveAsTable(table)
+    """Replace a table and its schema; running queries keep the old files. The frame may read the table."""
+    maintenance.publish(df, table)
 
 
 def lake_append(df: DataFrame, table: str) -> None:
@@ -56,30 +60,41 @@ def insert(df: DataFrame, table: str, target: str, mode: str = "append") -> None
     if mode not in ("append", "overwrite"):
         raise ValueError(f"unknown mode {mode!r}")
     rows = layout.coerce_types(df) if target == LAKE else df
-    rows.write.insertInto(table, overwrite=mode == "overwrite")
+    if mode == "append":
+        rows.write.insertInto(table)
+        return
+    fields = df.sparkSession.table(table).schema.fields
+    if len(fields) != len(rows.columns):
+        raise ValueError(f"{table} has {len(fields)} columns, the rows have {len(rows.columns)}")
+    placed = [F.col(f"`{c}`").cast(f.dataType).alias(f.name) for c, f in zip(rows.columns, fields)]
+    maintenance.publish(rows.select(placed), table)
 
 
 def create_table_as(
     spark: SparkSession, table: str, query: str, properties: Mapping[str, str] | None = None
-) -> bool:
-    """Create a table from a query; False when that fails."""
+) -> str | None:
+    """Create a table from a query; the reason when that fails, else None."""
     try:
         writer = spark.sql(query).writeTo(table).using("parquet")
         for key, value in (properties or {}).items():
             writer = writer.tableProperty(key, value)
         writer.create()
-    except PySparkException:
-        return False
-    return True
+    except PySparkException as error:
+        return _reason(error)
+    return None
 
 
-def insert_select(spark: SparkSession, table: str, query: str) -> bool:
-    """Insert the rows of a query by position; False when that fails."""
+def insert_select(spark: SparkSession, table: str, query: str) -> str | None:
+    """Insert the rows of a query by position; the reason when that fails, else None."""
     try:
         spark.sql(query).write.insertInto(table)
-    except PySparkException:
-        return False
-    return True
+    except PySparkException as error:
+        return _reason(error)
+    return None
+
+
+def _reason(error: PySparkException) -> str:
+    return next((line for line in str(error).splitlines() if line.strip()), type(error).__name__)
 
 
 def grouped_by(df: DataFrame, column: str = "tenant_id") -> DataFrame:
@@ -102,22 +117,9 @@ def write_partitioned(df: DataFrame, path: str, column: str = "tenant_id", mode:
     write_files(grouped_by(df, column), path, column, mode)
 
 
-def write_load(df: DataFrame, table: str, path: str, tenant: str = "tenant_id") -> str:
-    """Write a load by its size: a table when small, partitioned files when large.
-
-    Costs one pass to measure the frame; an ingestion that validates has the
-    figures already and does not need it.
-    """
-    if layout.is_large(*layout.size_of(df).first()):
-        write_partitioned(df, path, tenant)
-        return "large"
-    append_or_create(df, table)
-    return "small"
-
-
-def write_arranged(df: DataFrame, path: str, rows: int, mode: str = "append") -> layout.Strategy:
-    """Write a stamped load with the layout its columns and size ask for."""
-    plan = layout.strategy(df, rows)
+def write_arranged(df: DataFrame, path: str, mode: str = "append") -> layout.Strategy:
+    """Write a stamped load with the layout its columns ask for."""
+    plan = layout.strategy(df)
     arranged = layout.arrange(df, plan)
     arranged.write.mode(mode).partitionBy(*plan.partition_by).option(
         "compression", "snappy"
@@ -126,20 +128,37 @@ def write_arranged(df: DataFrame, path: str, rows: int, mode: str = "append") ->
 
 
 def write_bucketed(
-    df: DataFrame, table: str, key: str, sort_by: str, buckets: int = 16, files_per_bucket: int = 1
+    df: DataFrame,
+    table: str,
+    key: str,
+    sort_by: str,
+    buckets: int = 16,
+    file_bytes: int = maintenance.TARGET_FILE_BYTES,
 ) -> None:
-    """Table bucketed by a key and sorted inside each file.
+    """Table bucketed by a key and sorted inside each file, in files of about ``file_bytes``.
 
-    Hash-partitioning into a multiple of the bucket count puts every task into
-    exactly one bucket, so there are ``buckets * files_per_bucket`` files
-    instead of one per task and bucket; raise the factor with the data.
+    The bytes of each bucket are measured first (one row per bucket), and a
+    bucket gets as many files as they ask for. Its rows are dealt over these by
+    a hash of the whole row, so a key that holds half of all rows is written by
+    many tasks, while every task still writes one bucket.
     """
-    (
-        df.repartition(buckets * files_per_bucket, key)
-        .write.bucketBy(buckets, key)
-        .sortBy(sort_by)
-        .saveAsTable(table)
-    )
+    spark = df.sparkSession
+    rows = stage(df, "bucketed")  # measured and written: computed once
+    bucket = F.expr(f"pmod(hash(`{key}`), {buckets})")  # Spark's own bucket number
+    measured = rows.groupBy(bucket.alias("_b")).agg(F.sum(layout.row_bytes(rows)).alias("_bytes")).collect()
+    files = {r["_b"]: max(1, -(-(r["_bytes"] or 0) // file_bytes)) for r in measured}
+    starts, total = {}, 0
+    for b in sorted(files):
+        starts[b], total = total, total + files[b]
+    if not total:
+        rows.write.bucketBy(buckets, key).sortBy(sort_by).saveAsTable(table)
+        return
+    # A row per bucket: the number of its first file, and how many it has.
+    places = spark.createDataFrame([(b, starts[b], files[b]) for b in files], "_b int, _start long, _files long")
+    numbered = rows.withColumn("_b", bucket).join(F.broadcast(places), "_b")
+    file = F.col("_start") + F.pmod(F.xxhash64(*[f"`{c}`" for c in rows.columns]), F.col("_files"))
+    dealt = numbered.withColumn("_file", file).repartitionById(total, F.col("_file").cast("int")).select(*[f"`{c}`" for c in rows.columns])
+    dealt.write.bucketBy(buckets, key).sortBy(sort_by).saveAsTable(table)
 
 
 def write_monthly(df: DataFrame, table: str, date: str, region: str) -> None:

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from lakeward.operators import catalog, layout, maintenance, quality, sinks
@@ -14,9 +15,12 @@ from lakeward.plans import models as m
 from lakeward.sources import files, jdbc
 
 
+LOAD_ID = "load_id"
+
+
 @dataclass
 class Ingestion:
-    """What an ingestion did."""
+    """What an ingestion did; ``size_class`` is a label of the load and decides nothing."""
 
     records: int = 0
     batches: int = 0
@@ -24,52 +28,73 @@ class Ingestion:
     errors: int = 0
     seconds: float = 0.0
     target: str = ""
+    size_class: str = ""
     issues: list[str] = field(default_factory=list)
 
 
 def ingest(
     df: DataFrame,
-    table: str,
-    path: str,
+    target: str,
     tenant_id: str,
     source_type: str,
     as_of: dt.datetime | None = None,
     limits: quality.Limits | None = quality.Limits(),
+    kind: str = "table",
+    load_id: str | None = None,
 ) -> Ingestion:
-    """Check, stamp and write a source by its size; issues only warn.
+    """Check, stamp and append a source; issues only warn.
 
-    Small loads go to a table, large ones to tenant-partitioned files. Row
-    and byte figures are observed on the write itself.
+    ``target`` is a table, or a folder with ``kind="files"``; loads of any size
+    go to it. With a ``load_id`` the load is a partition of its own that a
+    repeated load replaces, so a retry adds nothing twice. A write that fails is
+    counted in ``errors`` and reported as an issue. Row and byte figures are
+    observed on the write itself.
     """
+    if kind not in ("table", "files"):
+        raise ValueError(f"unknown kind of target {kind!r}")
     started = dt.datetime.now(dt.timezone.utc)
-    done = Ingestion(batches=1)
-    # The check measures the frame as well, so the size costs no extra pass.
+    done = Ingestion(target=target)
     if limits is not None:
-        report = quality.validate(df, limits)
-        done.issues, rows, size = report.messages, report.rows, report.bytes
-    else:
-        rows, size = layout.size_of(df).first()
-    done.target = "large" if layout.is_large(rows, size) else "small"
+        done.issues += quality.validate(df, limits).messages
     seen = Observation()
     stamped = layout.stamp(df, tenant_id, source_type, as_of)
-    # A small load is merged into few files, a large one grouped by tenant.
-    large = done.target == "large"
-    stamped = sinks.grouped_by(stamped) if large else stamped.hint("rebalance")
+    if load_id is not None:
+        stamped = stamped.withColumn(LOAD_ID, F.lit(load_id))
+    # Rows of a tenant together; small loads end in few files, large ones in more.
+    stamped = stamped.hint("rebalance", "tenant_id")
     # Observed after the last shuffle: a map task that runs again after a lost
     # executor would be counted twice.
     watched = stamped.observe(
         seen, F.count(F.lit(1)).alias("rows"), F.sum(layout.row_bytes(stamped)).alias("bytes")
     )
-    if large:
-        sinks.write_files(watched, path)
-    else:
-        sinks.append_or_create(watched, table)
-    done.records = seen.get["rows"]
-    done.bytes = seen.get["bytes"] or 0
+    try:
+        _store(watched, target, kind, load_id)
+        done.records, done.bytes, done.batches = seen.get["rows"], seen.get["bytes"] or 0, 1
+        done.size_class = layout.size_class(done.records, done.bytes)
+    except (PySparkException, ValueError) as error:
+        done.errors += 1
+        done.issues.append(f"not written: {error}")
     done.seconds = (dt.datetime.now(dt.timezone.utc) - started).total_seconds()
     return done
 
 
+def _store(rows: DataFrame, target: str, kind: str, load_id: str | None) -> None:
+    spark = rows.sparkSession
+    if kind == "files":
+        columns = ["tenant_id"] if load_id is None else ["tenant_id", LOAD_ID]
+        writer = rows.write.partitionBy(*columns).option("compression", "snappy")
+        if load_id is None:
+            writer.mode("append").parquet(target)
+        else:  # only the partitions that the load has rows for are replaced
+            writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(target)
+    elif load_id is None:
+        sinks.append_or_create(rows, target, by_name=True)
+    elif not spark.catalog.tableExists(target):
+        maintenance.publish(rows, target, partition_by=(LOAD_ID,))
+    else:
+        maintenance.replace_partition(rows, target, {LOAD_ID: load_id})
+
+
 def read_source(spark: SparkSession, config: Mapping[str, Any], **read: Any) -> DataFrame:
     """Frame of a described source: ``csv``, ``parquet`` or a database type."""
     kind = config["type"]
@@ -85,11 +110,11 @@ def read_source(spark: SparkSession, config: Mapping[str, Any], **read: Any) ->
 def ingest_source(
     spark: SparkSession,
     config: Mapping[str, Any],
-    table: str,
-    path: str,
+    target: str,
     tenant_id: str,
     as_of: dt.datetime | None = None,
     limits: quality.Limits | None = quality.Limits(),
+    load_id: str | None = None,
     **read: Any,
 ) -> Ingestion:
     """Check that a described source can be read, then ingest it."""
@@ -100,37 +125,41 @@ def ingest_source(
         ok, reason = jdbc.check_connection(spark, config)
     if not ok:
         raise RuntimeError(f"cannot read the source: {reason}")
-    return ingest(read_source(spark, config, **read), table, path, tenant_id, kind, as_of, limits)
+    return ingest(read_source(spark, config, **read), target, tenant_id, kind, as_of, limits, load_id=load_id)
 
 
 def upload(
     df: DataFrame,
     table: str,
-    target: str = "auto",
+    target: str = sinks.LOCAL,
+    mode: str = "append",
     registry: str | None = None,
     tenant_id: str = "default-tenant",
     as_of: dt.datetime | None = None,
 ) -> str:
-    """Store an uploaded frame: replace a local table, or append to a lake table.
+    """Store an uploaded frame; ``mode`` is ``append`` or ``replace``, whatever its size.
 
-    ``auto`` takes the lake above ``UPLOAD_ROWS`` rows. With a registry the
-    dataset is recorded there. Returns the target used.
+    A lake target stores what has no lake type as text. With a registry the
+    dataset is recorded there. Returns the size class of the upload, which is
+    only a label.
     """
-    if target not in ("auto", sinks.LOCAL, sinks.LAKE):
+    if target not in (sinks.LOCAL, sinks.LAKE):
         raise ValueError(f"unknown target {target!r}")
-    rows = df.count() if target == "auto" or registry else 0
-    if target == "auto":
-        target = sinks.LAKE if rows > layout.UPLOAD_ROWS else sinks.LOCAL
-    if target == sinks.LAKE:
-        sinks.lake_append(df, table)
+    if mode not in ("append", "replace"):
+        raise ValueError(f"unknown mode {mode!r}")
+    seen = Observation()
+    rows = (layout.coerce_types(df) if target == sinks.LAKE else df).observe(seen, F.count(F.lit(1)).alias("rows"))
+    if mode == "replace":
+        sinks.overwrite(rows, table)
     else:
-        sinks.overwrite(df, table)
+        sinks.append_or_create(rows, table)
+    count = seen.get["rows"]
     if registry:
         moment = as_of or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
         catalog.register_dataset(
-            df.sparkSession, registry, tenant_id, table, target, rows, len(df.columns), moment
+            df.sparkSession, registry, tenant_id, table, target, count, len(df.columns), moment
         )
-    return target
+    return "large" if count > layout.UPLOAD_ROWS else "small"
 
 
 def run_models(

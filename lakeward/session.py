@@ -25,6 +25,7 @@ RUNTIME_SETTINGS = {
 
 _local_roots: dict[str, str] = {}
 _staged: list[str] = []
+_namespaces: list[str] = []
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -77,7 +78,8 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    Cuts lineage so that a lost executor rereads files instead of recomputing,
+    Runs a Spark job when it is called, and so does every function that says it
+    stages something. Cuts lineage so that a lost executor rereads files instead of recomputing,
     and gives the optimizer the measured size of the result: a staged side is
     broadcast only when its real size is under ``autoBroadcastJoinThreshold``.
     """
@@ -95,9 +97,20 @@ def delete_path(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(conf).delete(target, True)
 
 
+def remember_namespace(name: str) -> None:
+    """Have ``release`` drop a scratch namespace."""
+    _namespaces.append(name)
+
+
 def release(spark: SparkSession) -> int:
-    """Delete everything staged so far; call once its readers are done."""
+    """Drop scratch namespaces and delete everything staged so far.
+
+    Call it once the readers are done, in a ``finally`` so that a failed job
+    leaves nothing behind.
+    """
     count = 0
+    while _namespaces:
+        spark.sql(f"DROP DATABASE IF EXISTS `{_namespaces.pop()}` CASCADE")
     while _staged:
         count += bool(delete_path(spark, _staged.pop()))
     return count

@@ -18,8 +18,6 @@ DEFAULT_NA_VALUES = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
-SAMPLE_ROWS = 100
-
 
 def read_csv(
     spark: SparkSession,
@@ -38,14 +36,7 @@ def read_csv(
     extra pass), else to the types one pass over the data finds. ``multiline``
     allows line breaks in quoted fields, at the price of unsplittable files.
     """
-    text = csv_text(spark, path, separator, encoding, header, multiline)
-    tokens = list(dict.fromkeys([*na_values, *DEFAULT_NA_VALUES]))
-    cleaned = text.select(
-        *[
-            F.when(~F.col(f"`{n}`").isin(tokens), F.col(f"`{n}`")).alias(n)
-            for n in text.columns
-        ]
-    )
+    cleaned = without_tokens(csv_text(spark, path, separator, encoding, header, multiline), na_values)
     if schema is None:
         return cast_to(cleaned, infer_types(cleaned))
     if isinstance(schema, str):
@@ -69,12 +60,27 @@ def csv_text(
     )
 
 
-def cast_to(df: DataFrame, schema: T.StructType) -> DataFrame:
-    return df.select(
-        *[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields]
+def without_tokens(text: DataFrame, na_values: Sequence[str] = NA_VALUES) -> DataFrame:
+    """Text columns with the missing-value tokens as nulls."""
+    tokens = list(dict.fromkeys([*na_values, *DEFAULT_NA_VALUES]))
+    return text.select(
+        *[F.when(~F.col(f"`{n}`").isin(tokens), F.col(f"`{n}`")).alias(n) for n in text.columns]
     )
 
 
+def cast_to(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Text columns as the types of ``schema``; a value that has not its type is an error."""
+
+    def strict(f: T.StructField) -> Column:
+        value = F.col(f"`{f.name}`")
+        cast = value.try_cast(f.dataType)
+        reason = F.concat(F.lit(f"{f.name} is not {f.dataType.simpleString()}: "), value)
+        bad = value.isNotNull() & cast.isNull()
+        return F.when(bad, F.raise_error(reason).cast(f.dataType)).otherwise(cast).alias(f.name)
+
+    return df.select(*[strict(f) for f in schema.fields])
+
+
 def infer_types(df: DataFrame) -> T.StructType:
     """Narrowest of bigint, double, boolean and string that fits each text column.
 
@@ -100,19 +106,8 @@ def infer_types(df: DataFrame) -> T.StructType:
 
 
 def csv_schema(spark: SparkSession, path: str, **options) -> dict[str, str]:
-    """Column types as the first ``SAMPLE_ROWS`` rows suggest them.
-
-    ``take`` reads one partition after the other until it has enough, where a
-    ``limit`` inside a larger plan would start a task for every split.
-    """
-    text = csv_text(spark, path, **options)
-    sample = spark.createDataFrame(text.take(SAMPLE_ROWS), text.schema)
-    cleaned = sample.select(
-        *[
-            F.when(~F.col(f"`{n}`").isin(DEFAULT_NA_VALUES), F.col(f"`{n}`")).alias(n)
-            for n in text.columns
-        ]
-    )
+    """Column types that fit all rows; one aggregate over the file."""
+    cleaned = without_tokens(csv_text(spark, path, **options), ())
     return {f.name: f.dataType.simpleString() for f in infer_types(cleaned).fields}
 
 

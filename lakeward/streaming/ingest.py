@@ -10,13 +10,14 @@ to one target.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from lakeward.operators import layout, quality
 from lakeward.plans.load_and_model import Ingestion
+from lakeward.sources import files
 
 
 def file_stream(
@@ -32,6 +33,27 @@ def file_stream(
     return reader.options(**options).load(path)
 
 
+def csv_stream(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str,
+    na_values: Sequence[str] = files.NA_VALUES,
+    max_files: int = 100,
+    **options: str,
+) -> DataFrame:
+    """Stream over CSV files, read like ``files.read_csv`` reads one.
+
+    The same missing-value tokens become nulls, and a value that has not its
+    column's type fails the batch, which is then read again as a whole.
+    """
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+    settings = {"header": "true", "quote": '"', "escape": '"', **options}
+    text = file_stream(spark, path, texts, "csv", max_files, **settings)
+    return files.cast_to(files.without_tokens(text, na_values), schema)
+
+
 def ingest(
     stream: DataFrame,
     target: str,
@@ -52,21 +74,26 @@ def ingest(
     def write(batch: DataFrame, batch_id: int) -> None:
         if before_write is not None:
             before_write(batch, batch_id)
-        if limits is not None:
-            # Checked and written from one read; the batch size is bounded by
-            # the files per trigger, and a lost block is read again.
-            batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-            report = quality.validate(batch, limits)
-            done.issues += [f"batch {batch_id}: {message}" for message in report.messages]
-            done.bytes += report.bytes
-        seen = Observation()
-        stamped = layout.stamp(batch, tenant_id, source_type, as_of)
-        watched = stamped.observe(seen, F.count(F.lit(1)).alias("rows"))
-        watched.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
-        done.records += seen.get["rows"]
-        done.batches += 1
-        if limits is not None:
-            batch.unpersist()
+        # Checked and written from one read; the batch size is bounded by the
+        # files per trigger, and a lost block is read again.
+        held = batch.persist(StorageLevel.MEMORY_AND_DISK) if limits is not None else batch
+        try:
+            if limits is not None:
+                report = quality.validate(held, limits)
+                done.issues += [f"batch {batch_id}: {message}" for message in report.messages]
+                done.bytes += report.bytes
+            seen = Observation()
+            stamped = layout.stamp(held, tenant_id, source_type, as_of)
+            watched = stamped.observe(seen, F.count(F.lit(1)).alias("rows"))
+            watched.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+            done.records += seen.get["rows"]
+            done.batches += 1
+        except Exception:
+            done.errors += 1
+            raise
+        finally:
+            if limits is not None:
+                held.unpersist()
 
     query = (
         stream.writeStream.foreachBatch(write)

@@ -55,6 +55,11 @@ KINDS = {
 }
 
 
+def kind_of(theirs: str) -> str:
+    """Spark's name of a type; a list is an array of its element."""
+    return f"array<{kind_of(theirs[:-2])}>" if theirs.endswith("[]") else KINDS.get(theirs, theirs)
+
+
 def compare(con, df, sql: str) -> str | None:
     """None when both sides agree, else what differs."""
     left = sorted_rows(df.columns, df.collect())
@@ -62,10 +67,9 @@ def compare(con, df, sql: str) -> str | None:
     right = sorted_rows(relation.columns, relation.fetchall())
     if left[0] != right[0]:
         return f"columns {left[0]} != {right[0]}"
-    theirs = {c: KINDS.get(str(t), str(t)) for c, t in zip(relation.columns, relation.types)}
+    theirs = {c: kind_of(str(t)) for c, t in zip(relation.columns, relation.types)}
     ours = dict(df.dtypes)
     kinds = {c: (ours[c], theirs[c]) for c in ours if ours[c] != theirs[c]}
-    kinds = {c: k for c, k in kinds.items() if not k[0].startswith("array")}
     if len(left[1]) != len(right[1]):
         return f"{len(left[1])} rows != {len(right[1])} rows"
     for a, b in zip(left[1], right[1]):

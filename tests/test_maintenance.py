@@ -6,24 +6,29 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from lakeward.operators import catalog, maintenance as mt
+from lakeward.operators import catalog, maintenance as mt, sinks
 
 NOW = dt.datetime(2024, 2, 10)
 
 
+def paths(spark, name):
+    return set(mt.data_files(spark, name))
+
+
 def test_update_and_delete_report_affected_rows(spark, namespace):
     name = f"{namespace}.t"
     data = [(1, "a"), (2, "b"), (3, None)]
-    mt.publish(spark.createDataFrame(data, "id int, v string"), name)
-    first = mt.current_version(spark, name)
+    spark.createDataFrame(data, "id int, v string").write.saveAsTable(name)
+    first = spark.table(name)
+    assert first.count() == 3
     assert mt.update_rows(spark, name, F.col("v") == "a", {"v": F.lit("z"), "id": F.col("id") + 10}) == 1
     assert rows(spark.table(name)) == sorted([(11, "z"), (2, "b"), (3, None)], key=repr)
     # A null condition deletes nothing.
     assert mt.delete_rows(spark, name, F.col("v") == "b") == 1
     assert rows(spark.table(name)) == sorted([(11, "z"), (3, None)], key=repr)
-    # Readers of the first version still find it.
-    assert spark.table(first).count() == 3
-    mt.drop_version(spark, first)
+    # A query on the first version still finds it, until it is expired.
+    assert first.count() == 3
+    assert mt.expire_versions(spark, name)
     assert spark.table(name).count() == 2
 
 
@@ -37,6 +42,62 @@ def test_old_versions_expire(spark, namespace):
     assert (spark.table(name).count(), spark.table(f"{namespace}.t2").count()) == (3, 9)
 
 
+def test_every_operation_works_on_every_table(spark, namespace):
+    """Made by a sink, by partitions, by buckets, or published: one kind of table."""
+    df = spark.range(40).select("id", (F.col("id") % 4).alias("p"))
+    makers = {
+        "sink": lambda n: sinks.append_or_create(df, n),
+        "parts": lambda n: df.write.partitionBy("p").saveAsTable(n),
+        "buckets": lambda n: sinks.write_bucketed(df, n, "id", "p", buckets=2),
+        "published": lambda n: mt.publish(df, n, properties={"keeper": "it's me"}),
+    }
+    for kind, make in makers.items():
+        name = f"{namespace}.{kind}"
+        make(name)
+        mt.set_properties(spark, name, {"note": "kept"})
+        before = mt.layout_of(spark, name)
+        sinks.append_or_create(spark.createDataFrame([(100, 1), (101, 7)], "id long, p long"), name)
+        assert mt.update_rows(spark, name, F.col("p") == 2, {"id": F.col("id") + 1000}) == 10
+        assert mt.delete_rows(spark, name, F.col("p") == 3) == 10
+        mt.compact(spark, name)
+        sinks.append_or_create(spark.createDataFrame([(200, 3)], "id long, p long"), name)
+        assert mt.refresh_view(spark, name, lambda n=name: spark.table(n), NOW)
+        assert not mt.refresh_view(spark, name, lambda n=name: spark.table(n), NOW)
+        expected = [(i, i % 4) if i % 4 != 2 else (i + 1000, 2) for i in range(40) if i % 4 != 3]
+        assert rows(spark.table(name), "id", "p") == sorted([*expected, (100, 1), (101, 7), (200, 3)], key=repr)
+        assert mt.layout_of(spark, name) == before, kind
+        assert mt.table_property(spark, name, "note") == "kept"
+        mt.materialize(spark.range(3), name, "table")  # other columns
+        assert rows(spark.table(name)) == [(0,), (1,), (2,)]
+        assert mt.table_property(spark, name, "note") == "kept"
+    assert mt.table_property(spark, f"{namespace}.published", "keeper") == "it's me"
+
+
+def test_only_touched_partitions_are_written(spark, namespace):
+    name = f"{namespace}.t"
+    df = spark.range(60).select("id", F.when(F.col("id") % 6 < 5, F.concat(F.lit("k/="), F.col("id") % 6)).alias("p"))
+    df.write.partitionBy("p").saveAsTable(name)
+    before = paths(spark, name)
+    assert mt.update_rows(spark, name, F.col("id") == 7, {"id": F.lit(700)}) == 1
+    after = paths(spark, name)
+    assert len({f.rsplit("/", 1)[0] for f in before - after}) == 1
+    assert mt.delete_rows(spark, name, F.col("p").isNull()) == 10
+    assert spark.table(name).count() == 50 and spark.table(name).where("p is null").count() == 0
+    assert mt.delete_rows(spark, name, F.col("id") < 0) == 0
+    # A row can move to another partition, there or new.
+    assert mt.update_rows(spark, name, F.col("id") == 0, {"p": F.lit("k/=2")}) == 1
+    assert mt.update_rows(spark, name, F.col("id") == 6, {"p": F.lit("new one")}) == 1
+    found = {r.id: r.p for r in spark.table(name).collect()}
+    assert (found[0], found[6], found[700], len(found)) == ("k/=2", "new one", "k/=1", 50)
+
+
+def test_packing():
+    assert mt.packed([], 10) == 0
+    assert mt.packed([3, 3, 3], 10) == 1
+    assert mt.packed([77] * 6, 100) == 6
+    assert mt.packed([200, 50, 50], 100) == 2
+
+
 def test_analyzed_table_has_statistics(spark, namespace):
     spark.range(7).write.saveAsTable(f"{namespace}.s")
     catalog.analyze(spark, f"{namespace}.s")
@@ -49,17 +110,16 @@ def test_rewrite_keeps_partitions_and_column_order(spark, namespace):
     df = spark.range(10).select((F.col("id") % 2).alias("p"), "id")
     mt.publish(df, name, partition_by=("p",))
     mt.delete_rows(spark, name, F.col("id") < 5)
-    assert spark.table(name).columns == ["p", "id"]
-    version = mt.current_version(spark, name)
-    assert [c.name for c in spark.catalog.listColumns(version) if c.isPartition] == ["p"]
+    assert spark.table(name).columns == ["id", "p"]  # partition columns come last, as in any table
+    assert mt.layout_of(spark, name).partition_by == ("p",)
 
 
 def test_compaction_keeps_rows_with_fewer_files(spark, namespace):
     name = f"{namespace}.t"
     mt.publish(spark.range(0, 10_000, 1, 16), name)
-    before = mt.files_of(spark, mt.current_version(spark, name)).count()
+    before = len(mt.data_files(spark, name))
     assert mt.compact(spark, name)
-    after = mt.files_of(spark, mt.current_version(spark, name)).count()
+    after = len(mt.data_files(spark, name))
     assert (before, after) == (16, 1)
     assert spark.table(name).count() == 10_000
     assert spark.table(name).agg(F.count_distinct("id")).first()[0] == 10_000
@@ -69,25 +129,82 @@ def test_compaction_keeps_rows_with_fewer_files(spark, namespace):
 def test_compaction_to_a_target_size(spark, namespace):
     name = f"{namespace}.t"
     mt.publish(spark.range(0, 200_000, 1, 16).select("id", F.sha2(F.col("id").cast("string"), 256).alias("h")), name)
-    total = mt.files_of(spark, mt.current_version(spark, name)).agg(F.sum("length")).first()[0]
+    total = sum(mt.data_files(spark, name).values())
     assert mt.compact(spark, name, target_bytes=total // 4)
-    assert 3 <= mt.files_of(spark, mt.current_version(spark, name)).count() <= 8
+    assert 3 <= len(mt.data_files(spark, name)) <= 8
     assert spark.table(name).count() == 200_000
 
 
-def test_plain_tables_are_not_versioned(spark, namespace):
-    spark.range(1).write.saveAsTable(f"{namespace}.plain")
-    with pytest.raises(ValueError, match="not a versioned"):
-        mt.current_version(spark, f"{namespace}.plain")
+def test_compaction_settles(spark, namespace):
+    name = f"{namespace}.t"
+    mt.publish(spark.range(0, 60_000, 1, 6).select(F.sha2(F.col("id").cast("string"), 256).alias("h")), name)
+    largest = max(mt.data_files(spark, name).values())
+    assert not mt.compact(spark, name, target_bytes=int(largest / 0.77))  # no two fit together
+    target = int(largest * 2.5)
+    assert mt.compact(spark, name, target)
+    assert not mt.compact(spark, name, target)
 
 
-def test_snapshots_skip_snapshots_and_versions(spark, namespace):
-    spark.range(3).write.saveAsTable(f"{namespace}.plain")
-    mt.publish(spark.range(4), f"{namespace}.versioned")
-    assert mt.snapshot(spark, namespace, NOW) == ["plain", "versioned"]
-    assert mt.snapshot(spark, namespace, NOW + dt.timedelta(hours=1)) == ["plain", "versioned"]
-    assert rows(mt.history(spark, f"{namespace}.plain")) == [("20240210_000000", 3), ("20240210_010000", 3)]
-    assert mt.history(spark, f"{namespace}.plain").first().snapshot_ts == "20240210_010000"
+def test_partitioned_compaction_settles_and_leaves_other_partitions(spark, namespace):
+    name = f"{namespace}.t"
+    many = spark.range(0, 8000, 1, 8).select("id", F.lit("many").alias("p"))
+    one = spark.range(0, 10, 1, 1).select("id", F.lit("one").alias("p"))
+    many.write.partitionBy("p").saveAsTable(name)
+    sinks.append_or_create(one, name)
+    kept = {f for f in paths(spark, name) if "p=one" in f}
+    assert len(paths(spark, name)) == 9
+    assert mt.compact(spark, name)
+    assert not mt.compact(spark, name)
+    assert len(paths(spark, name)) == 2 and kept < paths(spark, name)
+    assert (spark.table(name).count(), spark.table(name).select("id").distinct().count()) == (8010, 8000)
+
+
+def test_snapshots_refer_to_files(spark, namespace):
+    name = f"{namespace}.plain"
+    spark.range(3).write.saveAsTable(name)
+    mt.publish(spark.range(4).select("id", (F.col("id") % 2).alias("p")), f"{namespace}.parts", partition_by=("p",))
+    assert mt.snapshot(spark, namespace, NOW) == ["parts", "plain"]
+    files = paths(spark, name)
+    sinks.append_or_create(spark.range(10, 12), name)
+    mt.delete_rows(spark, f"{namespace}.parts", F.col("p") == 1)
+    assert mt.snapshot(spark, namespace, NOW + dt.timedelta(hours=1)) == ["parts", "plain"]
+    mt.delete_rows(spark, name, F.col("id") == 0)
+    mt.expire_versions(spark, name)
+    mt.expire_versions(spark, f"{namespace}.parts")
+    assert rows(mt.history(spark, name)) == [("20240210_000000", 3), ("20240210_010000", 5)]
+    assert mt.history(spark, name).first().snapshot_ts == "20240210_010000"
+    assert rows(mt.read_snapshot(spark, name, "20240210_000000")) == [(0,), (1,), (2,)]
+    assert mt.read_snapshot(spark, name, "20240210_010000").count() == 5
+    read = mt.read_snapshot(spark, name, "20240210_000000").inputFiles()
+    assert read and {mt.plain_path(f) for f in read} <= {mt.plain_path(f) for f in files}  # nothing was copied
+    parts = f"{namespace}.parts"
+    assert rows(mt.read_snapshot(spark, parts, "20240210_000000"), "id", "p") == [(0, 0), (1, 1), (2, 0), (3, 1)]
+    assert rows(mt.read_snapshot(spark, parts, "20240210_010000"), "id", "p") == [(0, 0), (2, 0)]
+
+
+def test_snapshots_go_by_name(spark, namespace):
+    name = f"{namespace}.t"
+    mt.publish(spark.createDataFrame([(1, "x")], "a int, b string"), name)
+    mt.snapshot(spark, namespace, NOW)
+    mt.publish(spark.createDataFrame([("y", 2, 3.5)], "b string, a int, c double"), name)
+    mt.snapshot(spark, namespace, NOW + dt.timedelta(hours=1))
+    assert rows(mt.read_snapshot(spark, name, "20240210_000000"), "a", "b", "c") == [(1, "x", None)]
+    assert rows(mt.read_snapshot(spark, name, "20240210_010000"), "a", "b", "c") == [(2, "y", 3.5)]
+    mt.publish(spark.createDataFrame([("y", "z")], "b string, a string"), name)
+    with pytest.raises(ValueError, match="a was int and is string"):
+        mt.read_snapshot(spark, name, "20240210_000000")
+
+
+def test_names_of_tenants_are_legal_and_apart(spark):
+    tenants = ["acme", "ACME", "default-tenant", "a.b", "a b", "ü", "a_b", "a__2d__b"]
+    names = [mt.namespace_of(t) for t in tenants]
+    assert len(set(names)) == len(names)
+    for tenant, name in zip(tenants[2:5], names[2:5]):
+        mt.create_namespace(spark, name)
+        mt.publish(spark.range(2), f"{name}.t", properties={"tenant": tenant})
+        mt.update_rows(spark, f"{name}.t", F.col("id") == 1, {"id": F.lit(5)})
+        assert rows(spark.table(f"{name}.t")) == [(0,), (5,)]
+        mt.drop_namespace(spark, name)
 
 
 def test_expiry_keeps_the_newest(spark, namespace):
@@ -113,8 +230,17 @@ def test_refresh_waits_for_its_interval(spark, namespace):
     assert not mt.refresh_view(spark, name, build, NOW + dt.timedelta(minutes=59), "1h")
     assert mt.refresh_view(spark, name, build, NOW + dt.timedelta(hours=1), "1h")
     assert spark.table(name).count() == 2
-    versions = [t.name for t in spark.catalog.listTables(namespace) if t.name.startswith("mv__")]
-    assert len(versions) == 1  # the replaced version is gone
+    assert [t.name for t in spark.catalog.listTables(namespace) if not t.isTemporary] == ["mv"]
+    assert mt.expire_versions(spark, name) == []  # the replaced version is gone
+
+
+def test_refresh_after_compaction_and_of_any_table(spark, namespace):
+    name = f"{namespace}.mv"
+    mt.refresh_view(spark, name, lambda: spark.range(0, 100, 1, 8), NOW)
+    assert mt.compact(spark, name)
+    assert not mt.refresh_view(spark, name, lambda: spark.range(3), NOW + dt.timedelta(minutes=5))
+    assert mt.refresh_view(spark, name, lambda: spark.range(3), NOW + dt.timedelta(hours=2))
+    assert spark.table(name).count() == 3
 
 
 def test_intervals():
@@ -189,19 +315,18 @@ def test_settings_merge_and_order(spark):
     assert (table["beta"].created_at, table["beta"].updated_at) == (dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 5))
 
 
-def test_many_settings_spread_over_pages(spark):
-    updates = spark.range(500).select(
-        F.when(F.col("id") < 490, "big").otherwise("small").alias("tenant_id"),
-        F.concat(F.lit("k"), "id").alias("config_key"),
+def test_many_settings_spread_over_full_pages(spark):
+    updates = spark.range(2510).select(
+        F.when(F.col("id") < 2500, "big").otherwise("small").alias("tenant_id"),
+        F.format_string("k%04d", "id").alias("config_key"),
         F.col("id").cast("string").alias("config_value"),
         F.lit(NOW).cast("timestamp_ntz").alias("updated_at"),
         F.col("id").alias("update_id"),
     )
-    found = catalog.tenant_table(catalog.upsert_settings(None, updates), page_size=50).collect()
-    big = [r for r in found if r.tenant_id == "big"]
-    assert len(big) == 10 and max(len(r.config) for r in big) < 100
-    assert sum(len(r.config) for r in found) == 500
-    assert [(r.page, len(r.config)) for r in found if r.tenant_id == "small"] == [(0, 10)]
+    found = catalog.tenant_table(catalog.upsert_settings(None, updates)).collect()
+    pages = {(r.tenant_id, r.page): r.config for r in found}
+    assert {k: len(v) for k, v in pages.items()} == {("big", 0): 1000, ("big", 1): 1000, ("big", 2): 500, ("small", 0): 10}
+    assert min(pages["big", 1]) == "k1000" and max(pages["big", 1]) == "k1999"
 
 
 def test_dataset_registration(spark, namespace):

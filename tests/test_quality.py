@@ -115,8 +115,8 @@ def test_row_bytes_counts_utf8(spark):
 
 
 def test_size_targets(spark):
-    assert not layout.is_large(1_000_000, 500 * 1024 * 1024)
-    assert layout.is_large(1_000_001, 0) and layout.is_large(1, 500 * 1024 * 1024 + 1)
+    assert layout.size_class(1_000_000, 500 * 1024 * 1024) == "small"
+    assert layout.size_class(1_000_001, 0) == layout.size_class(1, 500 * 1024 * 1024 + 1) == "large"
     targets = spark.createDataFrame([(100_000,), (100_001,)], "n long").select(layout.upload_target(F.col("n")))
     assert [r[0] for r in targets.collect()] == ["small", "large"]
 

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from conftest import rows, settings
 from hypothesis import HealthCheck, given, settings as hypothesis_settings, strategies as st
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from lakeward.operators import joins, ranking
 
@@ -130,13 +130,14 @@ def test_group_totals_keep_null_keys(skewed):
     assert len(found) == 900
 
 
-def test_add_ranks_is_the_same_beyond_the_small_border(skewed, monkeypatch):
+def test_ranks_of_a_result(skewed):
     metrics = skewed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("s"))
     key = F.col("key").asc_nulls_last()
-    ranks = {"by_n": [F.desc("n"), key], "by_s": [F.desc("s"), key]}
-    small = rows(ranking.add_ranks(metrics, ranks))
-    monkeypatch.setattr(ranking, "SMALL_RESULT_ROWS", 0)
-    assert rows(ranking.add_ranks(metrics, ranks)) == small
+    orders = {"by_n": [F.desc("n"), key], "by_s": [F.desc("s"), key]}
+    plain = metrics
+    for name, order in orders.items():
+        plain = plain.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    assert rows(ranking.add_ranks(metrics, orders)) == rows(plain)
 
 
 def test_empty_input(spark):

@@ -9,7 +9,7 @@ from conftest import rows, settings
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from lakeward.operators import layout, sinks
+from lakeward.operators import layout, maintenance, sinks
 from lakeward.plans import load_and_model
 
 NOW = dt.datetime(2024, 2, 10)
@@ -44,14 +44,13 @@ def test_targets(spark, namespace):
 
 
 def test_ctas_and_insert_select_report_failure(spark, namespace):
-    assert sinks.create_table_as(spark, f"{namespace}.a", "select 1 as x", {"owner": "me"})
-    assert not sinks.create_table_as(spark, f"{namespace}.a", "select 1 as x")
-    assert not sinks.create_table_as(spark, f"{namespace}.b", "select nothing from nowhere")
-    assert sinks.insert_select(spark, f"{namespace}.a", "select 2")
-    assert not sinks.insert_select(spark, f"{namespace}.a", "select 1, 2")
+    assert sinks.create_table_as(spark, f"{namespace}.a", "select 1 as x", {"keeper": "me"}) is None
+    assert "ALREADY_EXISTS" in sinks.create_table_as(spark, f"{namespace}.a", "select 1 as x")
+    assert "nowhere" in sinks.create_table_as(spark, f"{namespace}.b", "select nothing from nowhere")
+    assert sinks.insert_select(spark, f"{namespace}.a", "select 2") is None
+    assert "INSERT_COLUMN_ARITY_MISMATCH" in sinks.insert_select(spark, f"{namespace}.a", "select 1, 2")
     assert rows(spark.table(f"{namespace}.a")) == [(1,), (2,)]
-    owner = spark.sql(f"SHOW TBLPROPERTIES {namespace}.a").filter("key = 'owner'").first()
-    assert owner is None or owner.value == "me"
+    assert maintenance.table_property(spark, f"{namespace}.a", "keeper") == "me"
 
 
 def test_types_without_a_lake_type_become_text(spark):
@@ -85,7 +84,7 @@ def test_hot_tenant_is_split_over_files(spark, tmp_path):
 def test_bucketed_table_has_one_file_per_bucket_and_joins_without_a_shuffle(spark, namespace):
     df = spark.range(1000).select(F.col("id").alias("patient_id"), (F.col("id") % 7).alias("recorded_at"))
     sinks.write_bucketed(df, f"{namespace}.a", "patient_id", "recorded_at", buckets=4)
-    sinks.write_bucketed(df, f"{namespace}.b", "patient_id", "recorded_at", buckets=4, files_per_bucket=2)
+    sinks.write_bucketed(df, f"{namespace}.b", "patient_id", "recorded_at", buckets=4, file_bytes=2500)
     a, b = spark.table(f"{namespace}.a"), spark.table(f"{namespace}.b")
     assert len(a.inputFiles()) == 4 and len(b.inputFiles()) == 8
     with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
@@ -94,6 +93,22 @@ def test_bucketed_table_has_one_file_per_bucket_and_joins_without_a_shuffle(spar
         assert joined.count() == 1000
 
 
+def test_hot_bucket_is_written_by_many_tasks(spark, namespace):
+    key = F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).alias("k")
+    df = spark.range(0, 20_000).select(key, F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    name = f"{namespace}.hot"
+    sinks.write_bucketed(df, name, "k", "h", buckets=4, file_bytes=100_000)
+    per_file = spark.table(name).groupBy("_metadata.file_path").count().collect()
+    share = 100_000 // 72  # rows of a file: 8 bytes of key, 64 of text
+    assert len(per_file) >= 14 and max(r["count"] for r in per_file) < 1.5 * share
+    assert (spark.table(name).count(), spark.table(name).where("k = 7").count()) == (20_000, 10_001)
+    with settings(spark, spark__sql__sources__bucketing__autoBucketedScan__enabled="false", spark__sql__maxMetadataStringLength="1000"):
+        plan = spark.table(name).where("k = 7")._jdf.queryExecution().executedPlan().toString()
+    assert "SelectedBucketsCount: 1 out of 4" in plan
+    sinks.write_bucketed(df.limit(0), f"{namespace}.none", "k", "h")
+    assert spark.table(f"{namespace}.none").count() == 0
+
+
 def test_month_filter_prunes_partitions(spark, namespace):
     days = spark.range(120).select(
         F.date_add(F.lit(dt.date(2024, 1, 1)), F.col("id").cast("int")).alias("date"), F.lit("eu").alias("region")
@@ -118,36 +133,48 @@ def test_arrow_batches(spark):
     assert sinks.arrow_batches(df, limit=7).agg(F.sum("rows")).first()[0] == 7
 
 
-def test_write_by_size(spark, namespace, tmp_path, monkeypatch):
-    df = spark.range(10).withColumn("tenant_id", F.lit("a"))
-    assert sinks.write_load(df, f"{namespace}.load", str(tmp_path / "load")) == "small"
-    assert spark.table(f"{namespace}.load").count() == 10
-    monkeypatch.setattr(layout, "LOAD_ROWS", 5)
-    assert sinks.write_load(df, f"{namespace}.load", str(tmp_path / "load")) == "large"
-    assert spark.read.parquet(str(tmp_path / "load")).count() == 10
-
-
 def test_strategy(spark, tmp_path):
     stamped = layout.stamp(spark.createDataFrame([(1, NOW)], "id int, ts timestamp_ntz"), "a", "csv", NOW)
-    plan = layout.strategy(stamped, rows=10)
-    assert (plan.partition_by, plan.sort_by, plan.cluster_by) == (["tenant_id", "day"], ["ingestion_timestamp"], [])
-    assert layout.strategy(stamped, rows=100_001).cluster_by == ["tenant_id"]
-    assert layout.strategy(stamped, rows=1, partitioning=False).partition_by == ["tenant_id"]
-    sinks.write_arranged(stamped, str(tmp_path / "x"), rows=10)
+    plan = layout.strategy(stamped)
+    assert (plan.partition_by, plan.sort_by) == (["tenant_id", "day"], ["ingestion_timestamp"])
+    assert layout.strategy(stamped, partitioning=False).partition_by == ["tenant_id"]
+    sinks.write_arranged(stamped, str(tmp_path / "x"))
     assert glob.glob(f"{tmp_path}/x/tenant_id=a/day=2024-02-10/*.parquet")
 
 
-@pytest.mark.parametrize("rows_border, target", [(1_000_000, "small"), (3, "large")])
-def test_ingest(spark, namespace, tmp_path, monkeypatch, rows_border, target):
-    monkeypatch.setattr(layout, "LOAD_ROWS", rows_border)
+@pytest.mark.parametrize("kind", ["table", "files"])
+def test_ingest(spark, namespace, tmp_path, kind):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (3, "c")], "id int, name string")
-    path = str(tmp_path / "load")
-    done = load_and_model.ingest(df, f"{namespace}.people", path, "tenant_a", "csv", NOW)
-    assert (done.records, done.batches, done.target, done.errors) == (4, 1, target, 0)
+    target = f"{namespace}.people" if kind == "table" else str(tmp_path / "load")
+    read = spark.table if kind == "table" else spark.read.parquet
+    done = load_and_model.ingest(df, target, "tenant_a", "csv", NOW, kind=kind)
+    assert (done.records, done.batches, done.size_class, done.errors) == (4, 1, "small", 0)
     assert done.issues == ["1 repeated rows"] and done.bytes > 0 and done.seconds > 0
-    written = spark.table(f"{namespace}.people") if target == "small" else spark.read.parquet(path)
-    assert set(written.columns) == {"id", "name", "tenant_id", "ingestion_timestamp", "source_type"}
-    assert written.count() == 4
+    assert set(read(target).columns) == {"id", "name", "tenant_id", "ingestion_timestamp", "source_type"}
+    assert read(target).count() == 4
+    # Loads of any size go to the same place.
+    assert load_and_model.ingest(spark.range(1_000_001).select(F.col("id").cast("int"), F.lit("x").alias("name")), target, "tenant_a", "csv", NOW, None, kind).size_class == "large"
+    assert read(target).count() == 1_000_005
+    with pytest.raises(ValueError, match="unknown kind"):
+        load_and_model.ingest(df, target, "a", "csv", kind="auto")
+
+
+@pytest.mark.parametrize("kind", ["table", "files"])
+def test_repeated_loads_replace_themselves(spark, namespace, tmp_path, kind):
+    target = f"{namespace}.people" if kind == "table" else str(tmp_path / "load")
+    read = spark.table if kind == "table" else spark.read.parquet
+    for load, rows_ in (("a", 5), ("b", 3), ("a", 5), ("a", 4)):
+        done = load_and_model.ingest(spark.range(rows_), target, "t", "csv", NOW, None, kind, load_id=load)
+        assert (done.records, done.errors) == (rows_, 0)
+    assert {r.load_id: r["count"] for r in read(target).groupBy("load_id").count().collect()} == {"a": 4, "b": 3}
+
+
+def test_failed_writes_are_counted(spark, namespace):
+    target = f"{namespace}.people"
+    load_and_model.ingest(spark.range(2), target, "t", "csv", NOW, None)
+    done = load_and_model.ingest(spark.createDataFrame([("x",)], "id string"), target, "t", "csv", NOW, None)
+    assert (done.errors, done.records, done.batches) == (1, 0, 0) and "not written" in done.issues[-1]
+    assert spark.table(target).count() == 2
 
 
 def test_models_run_in_order(spark, small, namespace):
@@ -162,29 +189,33 @@ def test_ingest_of_described_sources(spark, namespace, tmp_path):
     csv = tmp_path / "people.csv"
     csv.write_text("id;name\n1;Alice\n2;NA\n")
     config = {"type": "csv", "file_path": str(csv), "separator": ";"}
-    done = load_and_model.ingest_source(spark, config, f"{namespace}.people", str(tmp_path / "out"), "a", NOW)
+    done = load_and_model.ingest_source(spark, config, f"{namespace}.people", "a", NOW)
     assert done.records == 2
     assert rows(spark.table(f"{namespace}.people"), "id", "name", "source_type") == [(1, "Alice", "csv"), (2, None, "csv")]
     parquet = str(tmp_path / "p")
     spark.range(3).withColumn("x", F.col("id") * 2).write.parquet(parquet)
     config = {"type": "parquet", "file_path": parquet}
-    done = load_and_model.ingest_source(spark, config, f"{namespace}.p", str(tmp_path / "out"), "a", NOW, None, columns=["x"])
+    done = load_and_model.ingest_source(spark, config, f"{namespace}.p", "a", NOW, None, columns=["x"])
     assert (done.records, spark.table(f"{namespace}.p").columns[0]) == (3, "x")
     with pytest.raises(RuntimeError, match="not found"):
-        load_and_model.ingest_source(spark, {"type": "csv", "file_path": str(tmp_path / "no")}, "t", "x", "a")
+        load_and_model.ingest_source(spark, {"type": "csv", "file_path": str(tmp_path / "no")}, "t", "a")
 
 
-def test_upload_chooses_registers_and_replaces(spark, namespace, monkeypatch):
+def test_uploads_append_or_replace_at_any_size(spark, namespace):
     registry, table = f"{namespace}.datasets", f"{namespace}.up"
-    assert load_and_model.upload(spark.range(5), table, registry=registry, as_of=NOW) == "local"
-    assert load_and_model.upload(spark.range(3), table, "local") == "local"
-    assert spark.table(table).count() == 3
-    monkeypatch.setattr(layout, "UPLOAD_ROWS", 2)
-    for _ in range(2):
-        assert load_and_model.upload(spark.range(3), f"{namespace}.big", registry=registry, as_of=NOW) == "lake"
-    assert spark.table(f"{namespace}.big").count() == 6
+    assert load_and_model.upload(spark.range(100_001), table, registry=registry, as_of=NOW) == "large"
+    assert load_and_model.upload(spark.range(10), table, registry=registry, as_of=NOW) == "small"
+    assert spark.table(table).count() == 100_011
+    load_and_model.upload(spark.range(10), table, mode="replace")
+    assert spark.table(table).count() == 10
+    load_and_model.upload(spark.range(100_001), table, mode="replace")
+    assert spark.table(table).count() == 100_001
+    days = spark.range(2).select(F.lit(dt.date(2024, 1, 1)).alias("day"))
+    load_and_model.upload(days, f"{namespace}.lake", sinks.LAKE)
+    assert dict(spark.table(f"{namespace}.lake").dtypes) == {"day": "string"}
     assert rows(spark.table(registry), "tenant_id", "target", "rows") == [
-        ("default-tenant", "lake", 3), ("default-tenant", "lake", 3), ("default-tenant", "local", 5),
+        ("default-tenant", "local", 10), ("default-tenant", "local", 100_001),
     ]
-    with pytest.raises(ValueError, match="unknown target"):
-        load_and_model.upload(spark.range(1), table, "cloud")
+    for bad in ({"target": "cloud"}, {"mode": "auto"}):
+        with pytest.raises(ValueError, match="unknown"):
+            load_and_model.upload(spark.range(1), table, **bad)

@@ -58,13 +58,6 @@ def test_csv_kinds_narrow_to_what_fits(spark, write):
     }
 
 
-def test_schema_sample_looks_at_the_first_hundred_rows(spark, write):
-    text = "v\n" + "1\n" * 100 + "word\n"
-    path = write("late.csv", text)
-    assert files.csv_schema(spark, path) == {"v": "bigint"}
-    assert files.schema_of(files.read_csv(spark, path)) == {"v": "string"}
-
-
 def test_parquet_columns_are_pruned(spark, small):
     df = files.read_parquet(spark, small.path("orders"), ["o_orderkey"])
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -166,3 +159,9 @@ def test_seed_replaces(spark, namespace, write):
     for _ in range(2):
         seeded = tables.seed(spark, path, "source_name string, refresh_interval string", f"{namespace}.seeds")
     assert rows(seeded) == [("rev", "1h")]
+
+
+def test_types_come_from_all_rows(spark, tmp_path):
+    path = tmp_path / "late.csv"
+    path.write_text("a,b\n" + "".join(f"{i},{i}\n" for i in range(500)) + "word,7\n")
+    assert files.csv_schema(spark, str(path)) == {"a": "string", "b": "bigint"}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeward.plans import models as m
 from lakeward.session import fresh_path, release, shared_root, stage
+from lakeward.sources import files
 from lakeward.streaming import ingest, mview
 
 NOW = dt.datetime(2024, 2, 10)
@@ -87,3 +88,32 @@ def test_the_shared_folder_is_the_cluster_s_own():
     assert shared_root(_Cluster("hdfs://shared/folder/")) == "hdfs://shared/folder"
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_root(_Cluster(None))
+
+
+def test_csv_chunks_are_read_like_a_batch(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text('id,name\n1,"a ""b"""\nNA,null\n3,\n')
+    schema = "id int, name string"
+    stream = ingest.csv_stream(spark, str(tmp_path / "in"), schema)
+    done = ingest.ingest(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "a", "csv", NOW)
+    batch = files.read_csv(spark, str(tmp_path / "in"), schema)
+    assert rows(ingest.ingested(spark, str(tmp_path / "out")), "id", "name") == rows(batch) == sorted([(1, 'a "b"'), (None, None), (3, None)], key=repr)
+    assert (done.records, done.errors) == (3, 0)
+    (tmp_path / "in" / "b.csv").write_text("id,name\noops,x\n")
+    with pytest.raises(Exception, match="id is not int: oops"):
+        files.read_csv(spark, str(tmp_path / "in"), schema).collect()
+    with pytest.raises(Exception, match="id is not int: oops"):
+        ingest.ingest(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "a", "csv", NOW)
+    assert ingest.ingested(spark, str(tmp_path / "out")).count() == 3
+
+
+def test_folded_figures_stay_the_same(spark, small, tmp_path):
+    target = str(tmp_path / "figures")
+    for n in range(3):
+        part = small.patient_data.where(f"pmod(hash(patient_id), 3) = {n}")
+        mview.partial_figures(part).write.parquet(f"{target}/batch_id={n}")
+    before = rows(mview.current(spark, target))
+    assert mview.fold(spark, target) == 3
+    assert rows(mview.current(spark, target)) == before
+    assert spark.read.parquet(target).select("batch_id").distinct().count() == 1
+    assert mview.fold(spark, target) == 0

@@ -10,11 +10,11 @@ from lakeward.operators import joins, metering, workload as w
 
 # Statement, score, class.
 STATEMENTS = [
-    ("SELECT * FROM local_patients", 1.0, "simple_select"),
-    ("SELECT * FROM patients p JOIN diseases d ON p.disease_id = d.id", 4.0, "join"),
-    ("SELECT disease, COUNT(*) FROM patients GROUP BY disease", 2.5, "aggregation"),
+    ("SELECT * FROM ward_list", 1.0, "simple_select"),
+    ("SELECT w.bed, s.name FROM wards w JOIN staff s ON w.head = s.id", 4.0, "join"),
+    ("SELECT ward, SUM(beds) FROM wards GROUP BY ward", 2.5, "aggregation"),
     (
-        "SELECT disease, COUNT(*), AVG(age) FROM patients p JOIN outcomes o ON p.id = o.patient_id GROUP BY disease",
+        "SELECT w.ward, COUNT(*), MAX(v.cost) FROM wards w JOIN visits v ON v.ward = w.ward GROUP BY w.ward",
         5.5,
         "analytical",
     ),
@@ -25,7 +25,7 @@ STATEMENTS = [
 def statements(spark):
     data = [(i, text) for i, (text, _, _) in enumerate(STATEMENTS)]
     data += [
-        (4, "SELECT disease,\n COUNT(*) OVER (PARTITION BY disease) FROM patients\n WHERE id IN (SELECT patient_id FROM outcomes)"),
+        (4, "SELECT ward,\n SUM(cost) OVER (PARTITION BY ward) FROM visits\n WHERE bed IN (SELECT bed FROM wards)"),
         (5, "SELECT COUNT(*) FROM patient_data"),
         (6, "SELECT 1"),
         (7, "SELECT * FROM a JOIN b ON 1=1 JOIN c ON 1=1 JOIN d ON 1=1"),
@@ -36,7 +36,7 @@ def statements(spark):
 
 @pytest.fixture(scope="module")
 def registry(spark):
-    data = [("patient_data", "iceberg", None), ("known", "duckdb", 2_000_000), ("patients", "duckdb", 50)]
+    data = [("patient_data", "iceberg", None), ("known", "duckdb", 2_000_000), ("wards", "duckdb", 50)]
     return spark.createDataFrame(data, "table_name string, source string, row_count long")
 
 
@@ -61,7 +61,7 @@ def test_second_score_and_types(statements, spark):
 
 def test_sizes_of_unknown_and_unmeasured_tables(statements, registry):
     found = rows(w.registered_sizes(statements, registry, "id").filter("id in (1, 5, 8)"), "id", "table_name", "expected_rows")
-    assert found == [(1, "diseases", 100_000), (1, "patients", 50), (5, "patient_data", 10_000_000), (8, "known", 2_000_000)]
+    assert found == [(1, "staff", 100_000), (1, "wards", 50), (5, "patient_data", 10_000_000), (8, "known", 2_000_000)]
 
 
 def test_routing(statements, registry):
@@ -95,12 +95,6 @@ def test_response_window(spark):
     assert metering.response_times(log.limit(0), "at", "us", "id").first().measurements == 0
 
 
-def test_logged_text_is_cut(spark):
-    log = spark.createDataFrame([(1, "t", "x" * 500, "e", 1, None)], "query_id int, tenant_id string, query string, engine string, row_count long, latency_us long")
-    line = metering.log_entries(log.withColumn("created", F.current_timestamp())).first()
-    assert (len(line.query), line.latency_us) == (200, 0)
-
-
 def test_statements_of_unknown_tenants_are_not_logged(spark, small):
     known = spark.createDataFrame([("tenant_1",), ("tenant_1",), ("other",)], "tenant_id string")
     found = metering.log_entries(small.query_log, known)
@@ -113,3 +107,28 @@ def test_lookup_lists_unknown_keys(spark):
     found, missing = joins.lookup(facts, index, F.upper("k"), "name")
     assert rows(found, "id", "tenant") == [(1, "t1")]
     assert rows(missing) == sorted([("X", 2), (None, 1)], key=repr)
+
+
+def test_log_keeps_whole_texts_and_the_table(spark):
+    long = "SELECT * FROM ward_list WHERE note = '" + "x" * 212 + "'"
+    texts = [long, "insert into app.visits values (1)", "UPDATE beds SET a = 1", "create table t2 (a int)", "SELECT 1"]
+    log = spark.createDataFrame(
+        [(i, "a" if i else "gone", t, "e", 5, None, dt.datetime(2024, 1, 1)) for i, t in enumerate(texts)],
+        "query_id int, tenant_id string, query string, engine string, row_count long, latency_us long, created timestamp_ntz",
+    )
+    found = {r.query_id: r for r in metering.log_entries(log).collect()}
+    assert len(long) == 251 and found[0].query == long and found[0].short_query == long[:200]
+    assert [found[i].table for i in range(5)] == ["ward_list", "app.visits", "beds", "t2", None]
+    known = spark.createDataFrame([("a",)], "tenant_id string")
+    assert {r.query_id for r in metering.log_entries(log, known).collect()} == {1, 2, 3, 4}
+
+
+def test_unknown_metrics_are_counted(spark):
+    events = spark.createDataFrame([("requests_total", 1), ("odd", 5), ("odd", 1), (None, 1)], "metric string, value long")
+    assert rows(metering.counters(events)) == [("requests_total", 1)]
+    assert rows(metering.unknown_metrics(events)) == sorted([("odd", 2), (None, 1)], key=repr)
+
+
+def test_response_window_is_an_argument(spark):
+    log = spark.createDataFrame([(i, i) for i in range(10)], "t int, l long")
+    assert metering.response_times(log, "t", "l", "t", window=3).first()[:] == (8.0, 9, 7, 3)
