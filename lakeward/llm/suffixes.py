@@ -373,8 +373,8 @@ def _hot_runs(items: DataFrame, length: int) -> DataFrame:
         return _batch(out, [("tk", pa.binary()), ("place", pa.int64()), ("o", pa.int32()), ("h", pa.binary())])
 
     def repeated(rows: DataFrame) -> DataFrame:
-        often = rows.groupBy("h").count().where("count > 1").select("h")
-        return rows.join(often, "h")
+        often = stage(rows.groupBy("h").count().where("count > 1").select("h"), "often")
+        return rows.join(often, "h")  # of two plain shuffles, so a hot value's side is split
 
     plain = items.select("tk", "place", "offset", "bytes")
     found = map_batches(plain, cells, "tk binary, place long, cell int, h binary", 2000)
@@ -443,7 +443,8 @@ def remove_repeats(
         "tk", "rep", F.explode(F.arrays_zip("keys", "places", "lasts", F.concat(F.array(F.lit(-1).cast("long")), "lasts").alias("before"))).alias("a")
     ).select("tk", "rep", F.col("a.keys").alias("key"), F.col("a.places").alias("place"), F.col("a.lasts").alias("last"), (F.col("a.before") + 1).alias("lo"))
     owned = owned.where("key is not null")  # the list of earlier ends is one longer
-    often = owned.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Staged, so that the join below has two plain shuffles and a hot gram's side is split.
+    often = stage(owned.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "grams")
     found = (
         owned.join(often, "key").groupBy("tk", "rep")
         .agg(F.collect_list(F.struct("key", "n", "place", "lo", "last")).alias("found"))  # bounded by the text's length
