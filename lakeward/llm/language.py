@@ -18,9 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lakeward.llm.common import documents, filter_rows, id_remainder, map_batches, utf8
+from lakeward.operators.ranking import top_per_key
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -212,10 +213,10 @@ def fit(
     rows = df.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
     ).where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = rows.select("doc_id", "lang").withColumn("place", place).where(F.col("place") <= per_language)
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    picked = top_per_key(rows.select("doc_id", "lang").distinct(), ["lang"], order, per_language)
     # At most per_language ids of each language: bounded by the parameter.
-    sample = rows.join(F.broadcast(picked.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
+    sample = rows.join(F.broadcast(picked), ["doc_id", "lang"])
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, langs, cuts, places = [], [], [], []

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lakeward.llm.common import documents, id_remainder, map_batches, utf8
+from lakeward.session import stage
 
 SAMPLE = 4000  # bound of the training sample: that many positives, twice as many unlabelled
 PAIRS = 256
@@ -224,7 +225,13 @@ def fit(
     good = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("doc_id"))
 
     def drawn(ids: DataFrame, salt: int, size: int) -> DataFrame:
-        picked = ids.distinct().orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(size)
+        ids = stage(ids.distinct(), "ids")
+        # The smallest hashes lie below twice their share of all hash values, so
+        # only about twice the sample is sorted, whatever the number of rows.
+        share = min(1.0, 2 * size / max(1, ids.count()))
+        place = F.xxhash64("doc_id", F.lit(salt))
+        low = ids.where(place < int(-(2**63) + share * 2**64)) if share < 1 else ids
+        picked = low.orderBy(place, "doc_id").limit(size)
         # At most ``size`` ids: bounded by the parameter.
         return rows.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
 
