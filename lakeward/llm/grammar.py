@@ -40,10 +40,12 @@ ROUND_RULES = 4096  # pairs replaced in a round at most
 MIN_COUNT = 8  # a rarer pair costs more as a rule than it saves
 MIN_GAIN = 0.01  # a round that shortens the sequence by less is the last
 SYMBOLS = 1 << 16  # ids and rules together, so a symbol has 16 bits
-REMEMBERED = 500_000  # words kept per worker; only speed depends on it
+REMEMBERED = 1_200_000  # words kept per worker; only speed depends on it
+_LINES = 2_000  # words encoded as one text
 _SLICE = 4 << 20  # characters encoded at a time
 _SLOTS = 20  # bits of the table of a round's pairs
 _AFTER_SPACE = re.compile(r"[^\S ] ")
+_SPACE = re.compile(r"\s")
 _ODD = re.compile(r"(?<=\s) (?=\s|\Z)")
 
 
@@ -75,6 +77,9 @@ class Encoder:
             and parts.get("padding") is None
             and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or " " in a["content"] for a in parts.get("added_tokens", []))
         )
+        breaks = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.by_word = self.by_word and len(breaks) == 1
+        self.line_break = breaks[0] if len(breaks) == 1 else None
         self.first: dict[str, bytes] = {}  # words at the start of a text
         self.later: dict[str, bytes] = {}  # words after a space
 
@@ -85,31 +90,53 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of each text; none for null."""
         out: list[bytes] = [b""] * len(texts)
-        whole, cut = [], []
+        whole, cut, first = [], [], {}
         for i, text in enumerate(texts):
-            if text:
-                if self.by_word and not _odd_space(text):
-                    cut.append((i, text.split(" ")))
-                else:
-                    whole.append(i)
+            if not text:
+                continue
+            if not self.by_word or _odd_space(text):
+                whole.append(i)
+                continue
+            start, *words = text.split(" ")
+            first[i] = start
+            cut.append((i, words, list(map(self.later.get, words))))
         for i, ids in zip(whole, self._bytes([texts[i] for i in whole])):
             out[i] = ids
-        if cut:
-            first = self._words(self.first, {w[0] for _, w in cut}, "")
-            later = self._words(self.later, set().union(*(w[1:] for _, w in cut)), " ")
-            for i, words in cut:
-                out[i] = first[words[0]] + b"".join([later[w] for w in words[1:]])
+        missing = {w for _, words, found in cut if None in found for w, ids in zip(words, found) if ids is None}
+        fresh = self._learn(self.later, missing, " ")
+        starts = self._learn(self.first, {w for w in first.values() if w not in self.first}, "")
+        for i, words, found in cut:
+            if None in found:
+                found = [fresh[w] if ids is None else ids for w, ids in zip(words, found)]
+            begin = first[i]
+            out[i] = (starts[begin] if begin in starts else self.first[begin]) + b"".join(found)
         return out
 
-    def _words(self, known: dict[str, bytes], wanted: set[str], before: str) -> dict[str, bytes]:
-        missing = [w for w in wanted if w not in known]
-        if not missing:
-            return known
-        fresh = dict(zip(missing, self._bytes([before + w for w in missing])))
+    def _learn(self, known: dict[str, bytes], missing: set[str], before: str) -> dict[str, bytes]:
+        """Ids of words by the library; remembered while there is room.
+
+        Words without white space are encoded as the lines of one text: a line
+        break is a token of its own before a space and before a letter alike.
+        """
+        lines, odd = [], []
+        for w in missing:
+            (odd if _SPACE.search(w) else lines).append(w)
+        fresh = dict(zip(odd, self._bytes([before + w for w in odd])))
+        for at in range(0, len(lines), _LINES):
+            part = lines[at : at + _LINES]
+            found = self.tokenizer.encode("\n".join([before + w for w in part]), add_special_tokens=False).ids
+            ids = np.array(found, self.kind)
+            ends = np.flatnonzero(ids == self.line_break).tolist()
+            if len(ends) != len(part) - 1:  # a word that holds the break's id
+                fresh.update(zip(part, self._bytes([before + w for w in part])))
+                continue
+            raw, width = ids.tobytes(), self.kind.itemsize
+            fresh.update(
+                (w, raw[a * width : b * width]) for w, a, b in zip(part, [0, *(e + 1 for e in ends)], [*ends, len(ids)])
+            )
         if len(known) + len(fresh) <= REMEMBERED:
             known.update(fresh)
-            return known
-        return {w: fresh[w] if w in fresh else known[w] for w in wanted}
+        return fresh
 
 
 def _odd_space(text: str) -> bool:
@@ -188,8 +215,10 @@ def repair(ids: np.ndarray, base: int, symbols: int = SYMBOLS) -> Grammar:
     sequence = ids.astype(np.uint32)
     left, right, length = ([np.zeros(0, np.uint32)] for _ in range(3))
     count = 0
+    # Two symbols of 16 bits make a key of 32, which sorts faster.
+    half, kind = (16, np.uint32) if symbols <= 1 << 16 else (32, np.uint64)
     while count < symbols - base and len(sequence) > 1:
-        keys = (sequence[:-1].astype(np.uint64) << np.uint64(32)) | sequence[1:]
+        keys = (sequence[:-1].astype(kind) << kind(half)) | sequence[1:].astype(kind)
         ordered = np.sort(keys)
         borders = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]]))
         often = np.diff(borders)
@@ -205,16 +234,16 @@ def repair(ids: np.ndarray, base: int, symbols: int = SYMBOLS) -> Grammar:
         pairs, slot = pairs[np.sort(firsts)], slot[np.sort(firsts)]
         table = np.zeros(1 << _SLOTS, np.uint64)
         rule = np.zeros(1 << _SLOTS, np.uint32)
-        table[slot], rule[slot] = pairs + np.uint64(1), np.arange(len(pairs), dtype=np.uint32)
+        table[slot], rule[slot] = pairs.astype(np.uint64) + np.uint64(1), np.arange(len(pairs), dtype=np.uint32)
         where = _slot(keys)
-        places = np.flatnonzero(table[where] == keys + np.uint64(1))
+        places = np.flatnonzero(table[where] == keys.astype(np.uint64) + np.uint64(1))
         # In a run of overlapping places every second one is replaced.
         opens = np.concatenate([[True], np.diff(places) != 1])
         run = places[opens][np.cumsum(opens) - 1]
         places = places[(places - run) % 2 == 0]
         used, compact = np.unique(rule[where[places]], return_inverse=True)
         rules = pairs[used]
-        new_left, new_right = (rules >> np.uint64(32)).astype(np.uint32), rules.astype(np.uint32)
+        new_left, new_right = (rules >> kind(half)).astype(np.uint32), (rules & kind((1 << half) - 1)).astype(np.uint32)
         sizes = np.concatenate(length)
         left.append(new_left), right.append(new_right)
         length.append(_length_of(new_left, base, sizes) + _length_of(new_right, base, sizes))
@@ -230,7 +259,7 @@ def repair(ids: np.ndarray, base: int, symbols: int = SYMBOLS) -> Grammar:
 
 def _slot(pairs: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+        return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).astype(np.int64)
 
 
 def _length_of(symbols: np.ndarray, base: int, sizes: np.ndarray) -> np.ndarray:
