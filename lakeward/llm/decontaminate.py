@@ -42,6 +42,7 @@ OVERLAP = 0.8  # share of an item's n-grams that the passage must hold
 BLOCK = 8  # items of a block
 PASSAGE = 128  # words of a passage at least
 SHARD = 2_000  # items of an index shard
+_PASSAGES = 512  # passages of a text that are bounded at a time
 SHARD_BYTES = 64 << 20  # text of a shard, a bound for what is broadcast
 
 _WORD = re.compile(r"\w+")
@@ -150,18 +151,25 @@ class Index:
         words = words_of(text)
         if not words or not self.items:
             return []
+        best: dict[int, tuple] = {}
+        ranges = np.array(self.passages(len(words)))
+        for at in range(0, len(ranges), _PASSAGES):  # a long text is a run of shorter ones
+            part = ranges[at : at + _PASSAGES]
+            self._leaks_of(words[part[0, 0] : part[-1, 1]], part - part[0, 0], int(part[0, 0]), threshold, overlap, best)
+        return [best[i] for i in sorted(best)]
+
+    def _leaks_of(self, words: list[str], ranges: np.ndarray, before: int, threshold: float, overlap: float, best: dict) -> None:
+        """Leaks in some passages of a text, ``before`` words after its start, added to ``best``."""
         none = len(self.terms)
         ids = np.fromiter((self.terms.get(w, none) for w in words), np.int64, len(words))
         known = np.nonzero(ids < none)[0]
         if not len(known):
-            return []
+            return
         # Sums of block maxima up to each known word: a passage's bound is a difference of two.
         sums = np.zeros((len(known) + 1, self.block_max.shape[1]), np.float64)
         np.cumsum(self.block_max[ids[known]], axis=0, dtype=np.float64, out=sums[1:])
-        ranges = np.array(self.passages(len(words)))
         lo, hi = np.searchsorted(known, ranges[:, 0]), np.searchsorted(known, ranges[:, 1])
         hopeful = ((sums[hi] - sums[lo]) >= threshold - 1e-6).any(axis=1)
-        best: dict[int, tuple] = {}
         for p in np.nonzero(hopeful)[0]:
             terms = np.unique(ids[known[lo[p] : hi[p]]])
             bounds = self.block_max[terms].sum(axis=0, dtype=np.float64)
@@ -176,10 +184,9 @@ class Index:
                 answered = self._held(self.answers[n], held, words[start:end])
                 if (asked is None or asked >= overlap) and (answered is None or answered >= overlap):
                     item = self.items[n].item_id
-                    row = (item, float(score), asked, answered, int(start))
+                    row = (item, float(score), asked, answered, before + int(start))
                     if item not in best or row[1] > best[item][1]:
                         best[item] = row
-        return [best[i] for i in sorted(best)]
 
     @staticmethod
     def _held(wanted: set, held: set, words: list[str]) -> float | None:

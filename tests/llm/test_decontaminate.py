@@ -102,10 +102,13 @@ def test_question_and_answer_both_count(spark, docs_of):  # noqa: F811
     assert kept.count() == docs.count() - 2
 
 
-def test_item_across_any_passage_border(spark, docs_of):  # noqa: F811
+@pytest.mark.parametrize("passages", [1, 3, 512])
+def test_item_across_any_passage_border(spark, docs_of, monkeypatch, passages):  # noqa: F811
+    monkeypatch.setattr(d, "_PASSAGES", passages)
     items = items_frame(spark, [(1, QUESTION, None)])
     rows = [(k, " ".join([f"a{i}" for i in range(k)] + [QUESTION] + [f"b{i}" for i in range(300)])) for k in range(0, 400, 7)]
-    assert d.find_leaks(docs_of(rows), items).count() == len(rows)
+    found = d.find_leaks(docs_of(rows), items).collect()
+    assert len(found) == len(rows) and all(r.first_word <= r.doc_id for r in found)
 
 
 def test_shards_give_the_same_result(spark, monkeypatch):

@@ -108,6 +108,13 @@ def test_neighbours_and_noise(spark):
     assert text.endswith("***") and "###\n+1 (" in text
 
 
+def test_very_long_runs(spark):
+    texts = ["x@a" + ".a" * 200_000, "4" * 300_000, "1.2." * 100_000, "+1 " * 100_000, "A1" * 200_000, "a@" * 100_000, "f" * 400_000]
+    out = replaced(spark, *texts)
+    assert [len(t) for t, _ in out] == [len(t) for t in texts]
+    assert out[0][1] == ["email"] and out[1:] == [(t, []) for t in texts[1:]]
+
+
 def test_awkward_rows_and_clashing_columns(docs_of):
     docs = docs_of(AWKWARD).withColumnRenamed("source", "kinds").withColumn("new", F.lit(1))
     out = pii.pseudonymize(docs)
