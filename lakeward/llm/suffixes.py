@@ -463,7 +463,8 @@ def remove_repeats(
         "tk", F.col("r.start").alias("starts"), F.col("r.stop").alias("stops")
     )
     cut = _cut(candidates.select("tk", "text").join(per_text, "tk")).dropDuplicates(["tk"])
-    once = texts.select("tk", "copies").join(cut, "tk", "left")
+    # Staged, so that the copies of a text are split in the last join.
+    once = stage(texts.select("tk", "copies").join(cut, "tk", "left"), "removed")
     nothing = hashlib.sha256(b"").hexdigest()
     all_of_it = F.coalesce(F.col("copies") > 1, F.lit(False))
     none = F.array().cast("array<long>")
