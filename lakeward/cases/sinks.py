@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from lakeward.cases import case
@@ -243,6 +246,22 @@ def ingest_loads(t: Tables) -> DataFrame:
     return t.spark.table(table).select("event_id", "event_type", "tenant_id", "load_id")
 
 
+@case(
+    "sink_settled",
+    """select 'view' as seen, s_suppkey as id from supplier union all select 'view', c_custkey from customer
+union all select 'first snapshot', s_suppkey from supplier""",
+)
+def settled(t: Tables) -> DataFrame:
+    """Two uploads, each followed by views and a snapshot: the view has both, the first snapshot one."""
+    table = f"{namespace(t.spark)}.ids_{uuid.uuid4().hex[:8]}"
+    loads = [t.read("supplier").select(F.col("s_suppkey").alias("id")), t.customer.select(F.col("c_custkey").alias("id"))]
+    for hour, rows in enumerate(loads):
+        load_and_model.upload(rows, table, as_of=AS_OF + dt.timedelta(hours=hour), settled=True)
+    view = t.spark.table(table.split(".")[1]).select(F.lit("view").alias("seen"), "id")
+    first = maintenance.read_snapshot(t.spark, table, f"{AS_OF:%Y%m%d_%H%M%S}")
+    return view.unionByName(first.select(F.lit("first snapshot").alias("seen"), "id"))
+
+
 @case(
     "sink_upload",
     """select l_orderkey as id, l_returnflag as kind from lineitem union all select s_suppkey, s_name from supplier""",

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from lakeward.operators import catalog, layout, maintenance, quality, sinks
 from lakeward.plans import models as m
 from lakeward.sources import files, jdbc
+from lakeward.sources.tables import reflect_views
 
 
 LOAD_ID = "load_id"
@@ -41,13 +42,15 @@ def ingest(
     limits: quality.Limits | None = quality.Limits(),
     kind: str = "table",
     load_id: str | None = None,
+    settled: bool = False,
 ) -> Ingestion:
     """Check, stamp and append a source; issues only warn.
 
     ``target`` is a table, or a folder with ``kind="files"``; loads of any size
     go to it. With a ``load_id`` the load is a partition of its own that a
     repeated load replaces, so a retry adds nothing twice. A write that fails is
-    counted in ``errors`` and reported as an issue. Row and byte figures are
+    counted in ``errors`` and reported as an issue. With ``settled`` views and a
+    snapshot of the table's namespace follow the write. Row and byte figures are
     observed on the write itself.
     """
     if kind not in ("table", "files"):
@@ -71,6 +74,8 @@ def ingest(
         _store(watched, target, kind, load_id)
         done.records, done.bytes, done.batches = seen.get["rows"], seen.get["bytes"] or 0, 1
         done.size_class = layout.size_class(done.records, done.bytes)
+        if settled and kind == "table":
+            settle(df.sparkSession, target, as_of or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
     except (PySparkException, ValueError) as error:
         done.errors += 1
         done.issues.append(f"not written: {error}")
@@ -95,6 +100,13 @@ def _store(rows: DataFrame, target: str, kind: str, load_id: str | None) -> None
         maintenance.replace_partition(rows, target, {LOAD_ID: load_id})
 
 
+def settle(spark: SparkSession, table: str, at: dt.datetime) -> tuple[list[str], list[str]]:
+    """After a write: one view per table of the table's namespace, and a snapshot of them all."""
+    namespace = table.rpartition(".")[0]
+    taken = maintenance.snapshot(spark, namespace, at)
+    return reflect_views(spark, namespace), taken
+
+
 def read_source(spark: SparkSession, config: Mapping[str, Any], **read: Any) -> DataFrame:
     """Frame of a described source: ``csv``, ``parquet`` or a database type."""
     kind = config["type"]
@@ -136,11 +148,13 @@ def upload(
     registry: str | None = None,
     tenant_id: str = "default-tenant",
     as_of: dt.datetime | None = None,
+    settled: bool = False,
 ) -> str:
     """Store an uploaded frame; ``mode`` is ``append`` or ``replace``, whatever its size.
 
     A lake target stores what has no lake type as text. With a registry the
-    dataset is recorded there. Returns the size class of the upload, which is
+    dataset is recorded there; with ``settled`` views and a snapshot of the
+    table's namespace follow. Returns the size class of the upload, which is
     only a label.
     """
     if target not in (sinks.LOCAL, sinks.LAKE):
@@ -154,8 +168,10 @@ def upload(
     else:
         sinks.append_or_create(rows, table)
     count = seen.get["rows"]
+    moment = as_of or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    if settled:
+        settle(df.sparkSession, table, moment)
     if registry:
-        moment = as_of or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
         catalog.register_dataset(
             df.sparkSession, registry, tenant_id, table, target, count, len(df.columns), moment
         )

@@ -39,7 +39,7 @@ def seed(spark: SparkSession, path: str, schema: T.StructType | str, table: str)
 
 
 def reflect_views(spark: SparkSession, namespace: str, prefix: str = "") -> list[str]:
-    """One temporary view per table of a namespace; rerun after each write."""
+    """One temporary view per table of a namespace; rerun after each write (``load_and_model.settle``)."""
     names = []
     for table in spark.catalog.listTables(namespace):
         if table.isTemporary:
