@@ -124,8 +124,9 @@ class Encoder:
         fresh = dict(zip(odd, self._bytes([before + w for w in odd])))
         for at in range(0, len(lines), _LINES):
             part = lines[at : at + _LINES]
-            found = self.tokenizer.encode("\n".join([before + w for w in part]), add_special_tokens=False).ids
-            ids = np.array(found, self.kind)
+            # In a batch of one, as only batches can leave out the places of tokens.
+            found = self.tokenizer.encode_batch_fast(["\n".join([before + w for w in part])], add_special_tokens=False)
+            ids = np.array(found[0].ids, self.kind)
             ends = np.flatnonzero(ids == self.line_break).tolist()
             if len(ends) != len(part) - 1:  # a word that holds the break's id
                 fresh.update(zip(part, self._bytes([before + w for w in part])))
