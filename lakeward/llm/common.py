@@ -79,6 +79,19 @@ def filter_rows(df: DataFrame, keep: Callable[[pa.Array], list[bool]], text_col:
     return map_batches(df, one, df.schema)
 
 
+def with_text_key(
+    df: DataFrame, name: str, key: Callable[[bytes | None], int], text_col: str = "text"
+) -> DataFrame:
+    """``df`` with a new long column ``name``: ``key`` of the bytes of the text."""
+    at = df.columns.index(text_col)
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys = pa.array([key(t) for t in utf8(batch.column(at))], pa.int64())
+        return pa.RecordBatch.from_arrays([*batch.columns, keys], [*batch.schema.names, name])
+
+    return map_batches(df, one, T.StructType([*df.schema.fields, T.StructField(name, T.LongType())]))
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, without decoding them."""
     wide = pa.types.is_large_string(column.type)
