@@ -1,6 +1,7 @@
 """Format-preserving pseudonyms for personal data, in DataFrame functions only.
 
-One pattern finds candidates of every kind, a check decides whether a candidate
+One pattern finds candidates of every kind at every place, overlapping ones
+too, so one that fails its check hides no value inside it; a check decides whether a candidate
 really is one (Luhn, mod 97, octets, calendar, number ranges), and a keyed
 Feistel network permutes the value within its own format: a card number becomes
 another valid card number with the same separators, a date another date in the
@@ -32,23 +33,63 @@ _FIRST_DAY, _DAYS_A, _DAYS_B = "1700-01-01", 189, 773
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 _DIGITS = "0123456789"
 
+#: Countries of account numbers by length.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FO|FI|FK|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
+    22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG",
+    25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV",
+    29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+_IBAN_KNOWN = "|".join(
+    rf"(?:{countries})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(length - 4) // 4}}}"
+    + (rf" ?[A-Z0-9]{{{length % 4}}}" if length % 4 else "")
+    + "(?![A-Za-z0-9])"
+    for length, countries in _IBAN_LENGTHS.items()
+)
+_LOCAL = r"(?<!\d)\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])(?:(?:1[.-])?\d{3}[.-])?\d{3}[.-]\d{4}(?![\d-])"
+
 #: Kinds in the order in which the pattern tries them. Every alternative starts
 #: at a border, so a long run of characters is entered once; every repeated group
 #: is bounded, as Java's matcher recurses for each repetition.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,20}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": "",
     "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])",
     "ipv6": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\d.])(?:\d{4}(?<g>[ -])\d{4}\k<g>\d{4}\k<g>\d{4}|\d{4}(?<h>[ -])\d{6}\k<h>\d{5}|\d{13,19})(?!\d)",
-    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"
-    r"|(?<!\d)\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])(?:\d{3}[.-])?\d{3}[.-]\d{4}(?![\d-])",
+    "card": r"(?<![\d.])(?:\d{4}(?: \d{4} \d{4} |-\d{4}-\d{4}-)\d{4}|\d{4}(?: \d{6} |-\d{6}-)\d{5}|\d{13,19})(?!\d)",
+    "phone": "",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
-    "date": r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d./])\d{2}(?<d>[./])\d{2}\k<d>\d{4}(?!\d)",
+    "date": r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d./])\d{2}(?:\.\d{2}\.|/\d{2}/)\d{4}(?!\d)",
 }
+#: What a value that goes on across spaces must not run into.
+_NEXT = "|".join(
+    f"(?:{p})" + r"(?![ -]\d{4}(?!\d))" * (kind == "card")  # else the groups of four may be out of step
+    for kind, p in (*PATTERNS.items(), ("phone", _LOCAL))
+    if p
+)
+_IBAN_GROUP = rf"(?:(?! (?:{_NEXT})) ?[A-Z0-9]{{4}})"
+PATTERNS["iban"] = (
+    rf"(?<![A-Za-z0-9])(?:{_IBAN_KNOWN}|[A-Z]{{2}}\d{{2}}{_IBAN_GROUP}{{2,7}}"
+    rf"(?:(?! (?:{_NEXT})) ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))"
+)
+
+
+def _international(group: str) -> str:
+    """A number of 7 to 15 digits in all, counted back from its end to the plus sign."""
+    start = r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}"
+    lengths = "|".join(r"\+" + r"[ ().-]{0,3}\d" * n for n in range(7, 16))  # Java repeats no group in a lookbehind
+    return start + group + rf"{{1,4}}(?!\d)(?<={lengths})"
+
+
+#: Country code 1 has 10 digits after it. Short of 7 digits a phone number goes on into what looks like another value.
+_NORTH_AMERICA = r"(?<![\d+])\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+PATTERNS["phone"] = "|".join(
+    [_NORTH_AMERICA, _international(rf"(?:(?![ .-](?:{_NEXT}))[ .-]?\d{{2,4}})"), _international(r"(?:[ .-]?\d{2,4})"), _LOCAL]
+)
 KINDS = list(PATTERNS)
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_START = f"(?={_ANY})"  # in front of a candidate; candidates can overlap
 _FOUND = "__lakeward_found"
 _GATE = "[0-9@]"  # no value of any kind is without one of these
 
@@ -274,6 +315,40 @@ def _replaced(value: Column, key: str) -> Column:
     return F.struct(kind.alias("kind"), new.alias("new"))
 
 
+def _chosen(parts: Column, found: Column) -> Column:
+    """Struct ``text, kinds`` after replacing, from the left, each valid value that overlaps no earlier one.
+
+    Every part but one in front of the first candidate starts with a candidate,
+    which can reach into the parts after it; ``skip`` counts the characters of
+    the last replaced value that are still to come.
+    """
+    ahead = F.size(parts) - F.size(found)  # 1 where text stands in front of the first candidate
+    start = F.struct(
+        F.array(F.when(ahead > 0, parts[0]).otherwise("")).alias("out"),
+        F.lit(0).alias("skip"),
+        F.array().cast("array<string>").alias("kinds"),
+    )
+    zipped = F.zip_with(
+        F.slice(parts, ahead + 1, F.size(found)), found, lambda p, v: F.struct(p.alias("part"), v.alias("v"))
+    )
+
+    def step(state: Column, x: Column) -> Column:
+        kind = x["v"]["as"]["kind"]
+        take = (state["skip"] == 0) & kind.isNotNull()
+        skip = F.when(take, x["v"]["length"]).otherwise(state["skip"])
+        left = F.substring(x["part"], skip + 1, F.length(x["part"]))
+        return F.struct(
+            F.concat(
+                state["out"], F.array(F.concat(F.when(take, x["v"]["as"]["new"]).otherwise(""), left))
+            ).alias("out"),
+            F.greatest(skip - F.length(x["part"]), F.lit(0)).alias("skip"),
+            F.when(take, F.concat(state["kinds"], F.array(kind))).otherwise(state["kinds"]).alias("kinds"),
+        )
+
+    end = F.aggregate(zipped, start, step)
+    return F.struct(F.array_join(end["out"], "").alias("text"), end["kinds"].alias("kinds"))
+
+
 def pseudonymize(
     df: DataFrame, text_col: str = "text", key: str = KEY, found_col: str | None = None
 ) -> DataFrame:
@@ -287,23 +362,15 @@ def pseudonymize(
     that does not exist) stays as it is.
     """
     text = F.col(text_col)
-    found = F.transform(F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)), lambda v: _replaced(v, key))
-    found = F.when(text.rlike(_GATE), found)
-    held = df.select("*", found.alias(_FOUND))
-    gaps = F.split(text, _ANY, -1)
-    pieces = F.zip_with(
-        gaps,
-        F.col(_FOUND),
-        lambda gap, value: F.concat(gap, F.coalesce(value["new"], F.lit(""))),
-    )
-    changed = F.exists(_FOUND, lambda v: v["kind"].isNotNull())
+    found = F.regexp_extract_all(text, F.lit(f"(?=({_ANY}))"), F.lit(1))
+    found = F.transform(found, lambda v: F.struct(F.length(v).alias("length"), _replaced(v, key).alias("as")))
+    held = df.select("*", F.when(text.rlike(_GATE), found).alias(_FOUND))
+    done = _chosen(F.split(text, _START, -1), F.col(_FOUND))
+    changed = F.exists(_FOUND, lambda v: v["as"]["kind"].isNotNull())
+    held = held.withColumn(_FOUND, F.when(F.coalesce(changed, F.lit(False)), done))
     columns = [
-        F.when(F.coalesce(changed, F.lit(False)), F.array_join(pieces, "")).otherwise(text).alias(c)
-        if c == text_col
-        else F.col(f"`{c}`")
-        for c in df.columns
+        F.coalesce(F.col(_FOUND)["text"], text).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns
     ]
     if found_col:
-        kinds = F.filter(F.transform(_FOUND, lambda v: v["kind"]), lambda k: k.isNotNull())
-        columns.append(F.coalesce(kinds, F.array().cast("array<string>")).alias(found_col))
+        columns.append(F.coalesce(F.col(_FOUND)["kinds"], F.array().cast("array<string>")).alias(found_col))
     return held.select(*columns)

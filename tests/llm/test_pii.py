@@ -108,6 +108,33 @@ def test_neighbours_and_noise(spark):
     assert text.endswith("***") and "###\n+1 (" in text
 
 
+def test_every_ordered_pair_of_values_side_by_side(spark):
+    values = [(kind, v) for kind in VALUES for v in VALUES[kind]]
+    pairs = [(a, b) for a in values for b in values]
+    alone = dict(zip([v for _, v in values], replaced(spark, *[v for _, v in values])))
+    out = replaced(spark, *[f"{a} {b}" for (_, a), (_, b) in pairs])
+    wrong = [
+        (a, b, got)
+        for ((kind, a), (other, b)), got in zip(pairs, out)
+        if got != (f"{alone[a][0]} {alone[b][0]}", [kind, other])
+    ]
+    assert not wrong
+
+
+def test_a_failed_candidate_hides_no_value(spark):
+    texts = [
+        "+1 (826) 555-4081 190.137.223.204", "+1 (843) 555-7672 170.106.47.218", "+1 555-123-4567 2024-01-31",
+        "2024 4111 1111 1111 1111", "1999 2024 4111 1111 1111 1111", "AB12 4111 1111 1111 1111",
+        "DE12 4111 1111 1111 1111 22", "1-800-555-1234", "+1 555 123-4567",
+        "+1 (017) 555-7713 4111 1111 1111 1111 5500 0055 5555 5559",
+    ]
+    kinds = [["phone", "ip"], ["phone", "ip"], ["phone", "date"], *[["card"]] * 4, ["phone"], ["phone"], ["phone", "card", "card"]]
+    out = replaced(spark, *texts)
+    assert [k for _, k in out] == kinds
+    assert all(old[-5:] != new[-5:] for old, (new, _) in zip(texts, out) if not old.endswith(" 22"))
+    assert [new[: len(new) - 19] for new, _ in out[3:6]] == ["2024 ", "1999 2024 ", "AB12 "]
+
+
 def test_very_long_runs(spark):
     texts = ["x@a" + ".a" * 200_000, "4" * 300_000, "1.2." * 100_000, "+1 " * 100_000, "A1" * 200_000, "a@" * 100_000, "f" * 400_000]
     out = replaced(spark, *texts)
