@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakeward.llm import decontaminate, embeddings, grammar, language, pieces, pii, quality, sharding, simhash, suffixes
+from lakeward.llm import (
+    decontaminate, embeddings, grammar, language, periodic, pieces, pii, quality, sharding, simhash, suffixes,
+)
 from lakeward.llm.common import table
 from lakeward.session import fresh_path
 
@@ -87,3 +89,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return pii.pseudonymize(docs, found_col="kinds")
+
+
+@query("op11_runs")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    planted = periodic.with_planted_runs(table(spark, folder, "documents"))
+    return periodic.digests(periodic.find_runs(planted))
