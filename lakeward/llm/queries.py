@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakeward.llm import (
     decontaminate, embeddings, grammar, language, periodic, pieces, pii, quality, sharding, simhash, suffixes,
+    variants,
 )
 from lakeward.llm.common import table
 from lakeward.session import fresh_path
@@ -95,3 +96,9 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     planted = periodic.with_planted_runs(table(spark, folder, "documents"))
     return periodic.digests(periodic.find_runs(planted))
+
+
+@query("op12_variants")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    counts = variants.count_words(table(spark, folder, "documents"), change=variants.drop_letters)
+    return variants.group_variants(counts)
