@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakeward.llm import (
-    decontaminate, embeddings, grammar, language, periodic, pieces, pii, quality, sharding, simhash, suffixes,
-    variants,
+    decontaminate, embeddings, grammar, language, periodic, pieces, pii, quality, secret_scan, sharding, simhash,
+    suffixes, variants,
 )
 from lakeward.llm.common import table
 from lakeward.session import fresh_path
@@ -102,3 +102,8 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     counts = variants.count_words(table(spark, folder, "documents"), change=variants.drop_letters)
     return variants.group_variants(counts)
+
+
+@query("op13_secrets")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(table(spark, folder, "documents")))

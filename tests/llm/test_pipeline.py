@@ -76,4 +76,4 @@ def test_oracle_is_none_and_run_is_registered():
     assert corpus_pipeline.ORACLE_SQL is None and "pipeline" not in entry.oracle_sql()
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     numbers = [int(m[1]) for m in (re.match(r"op(\d+)_", n) for n in entry.queries()) if m]
-    assert sorted(numbers) == list(range(1, 13))
+    assert sorted(numbers) == list(range(1, 14))
