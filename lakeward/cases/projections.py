@@ -342,17 +342,11 @@ select *, row_number() over (order by n desc, p_type, p_brand) as volume_rank,
   row_number() over (order by size_sum desc, p_type, p_brand) as size_rank from metrics""",
 )
 def rank_metrics(t: Tables) -> DataFrame:
-    names = [F.col("p_type").asc_nulls_last(), F.col("p_brand").asc_nulls_last()]
+    names = [("p_type", False), ("p_brand", False)]
     metrics = t.part.groupBy("p_type", "p_brand").agg(
         F.count(F.lit(1)).alias("n"), F.sum("p_size").alias("size_sum")
     )
-    return ranking.add_ranks(
-        metrics,
-        {
-            "volume_rank": [F.col("n").desc_nulls_last(), *names],
-            "size_rank": [F.col("size_sum").desc_nulls_last(), *names],
-        },
-    )
+    return ranking.add_ranks(metrics, {"volume_rank": [("n", True), *names], "size_rank": [("size_sum", True), *names]})
 
 
 @case(

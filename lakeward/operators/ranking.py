@@ -9,7 +9,7 @@ combined globally.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -18,7 +18,7 @@ from lakeward.session import stage
 # monotonically_increasing_id() keeps the partition in the upper bits and the
 # position inside the partition in the lower 33.
 _POSITION_BITS = 33
-_PLACE, _RANGE = "_place", "_range"
+_PLACE, _RANGE, _ROW, _ORDER = "_place", "_range", "_row", "_order"
 
 
 def _placed(df: DataFrame, order: Sequence[Column], keep: Sequence[str] | None = None) -> DataFrame:
@@ -198,16 +198,51 @@ def _top_per_salt(
     )
 
 
-def add_ranks(df: DataFrame, ranks: dict[str, Sequence[Column]]) -> DataFrame:
-    """Several independent ``row_number() over (order by ...)`` on one result.
+def add_ranks(df: DataFrame, ranks: Mapping[str, Sequence[tuple[str, bool]]]) -> DataFrame:
+    """Several independent ``row_number() over (order by ...)`` on one result, in one pass.
 
-    The result is staged once; every ranking is the distributed numbering,
-    which adaptive execution shrinks to one range where the result is small.
+    An order is a list of ``(column, descending)``, nulls last, and must be total.
+    The result is staged under row numbers of its own; every row then goes once per
+    order, with the columns of that order alone, into one range exchange over
+    ``(order, its columns)``. So all orders are sampled, sorted and numbered together,
+    no order is a task of its own, and the other columns stay where they are. The
+    numbers come back grouped by row.
     """
-    result = stage(df, "ranked")
-    for name, order in ranks.items():
-        result = number_rows(result, order, name)
-    return result
+    if not ranks:
+        return df
+    rows = stage(df.withColumn(_ROW, F.monotonically_increasing_id()), "ranked")
+    types = {f.name: f.dataType for f in df.schema.fields}
+    fields = [(k, column, descending) for k, order in enumerate(ranks.values()) for column, descending in order]
+    copies = [
+        F.struct(
+            F.lit(own).alias(_ORDER),
+            *[
+                (F.col(f"`{column}`") if k == own else F.lit(None).cast(types[column])).alias(f"_s{i}")
+                for i, (k, column, _) in enumerate(fields)
+            ],
+        )
+        for own in range(len(ranks))
+    ]
+    # Columns of another order are null in all rows of an order: they change nothing.
+    sort = [F.col(_ORDER), *[
+        F.col(f"_s{i}").desc_nulls_last() if descending else F.col(f"_s{i}").asc_nulls_last()
+        for i, (_, _, descending) in enumerate(fields)
+    ]]
+    placed = _placed(rows.select(_ROW, F.inline(F.array(*copies))), sort, [_ROW, _ORDER])
+    earlier = Window.partitionBy(_ORDER).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range and order; ranges cut orders, so there are at most as many
+    # as shuffle partitions and orders together, and that bounds the broadcast.
+    starts = (
+        placed.groupBy(_ORDER, _RANGE)
+        .agg(F.min(_PLACE).alias("_first"), F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+        .drop("_rows")
+    )
+    number = F.col(_PLACE) - F.col("_first") + F.col("_before") + 1
+    numbered = placed.join(F.broadcast(starts), [_ORDER, _RANGE]).groupBy(_ROW).agg(
+        *[F.max(F.when(F.col(_ORDER) == k, number)).alias(name) for k, name in enumerate(ranks)]
+    )
+    return rows.join(numbered, _ROW).select(*[f"`{c}`" for c in df.columns], *[f"`{n}`" for n in ranks])
 
 
 def array_chunks(

@@ -144,8 +144,8 @@ def disease_metrics(health: DataFrame, as_of: dt.datetime | None = None) -> Data
 def mart_disease_analytics(health: DataFrame, as_of: dt.datetime | None = None) -> DataFrame:
     """Disease measures with three independent ranks, largest disease first."""
 
-    def by(measure: str) -> list[Column]:
-        return [F.col(measure).desc_nulls_last(), F.col("disease_name").asc_nulls_last()]
+    def by(measure: str) -> list[tuple[str, bool]]:
+        return [(measure, True), ("disease_name", False)]
 
     ranked = add_ranks(
         disease_metrics(health, as_of),
@@ -155,7 +155,7 @@ def mart_disease_analytics(health: DataFrame, as_of: dt.datetime | None = None)
             "symptom_severity_rank": by("avg_symptoms_per_case"),
         },
     )
-    return ranked.orderBy(*by("total_cases"))
+    return ranked.orderBy(F.col("total_cases").desc_nulls_last(), F.col("disease_name").asc_nulls_last())
 
 
 def recent(df: DataFrame, column: str, days: int, as_of: dt.datetime) -> DataFrame:

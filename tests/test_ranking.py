@@ -130,14 +130,48 @@ def test_group_totals_keep_null_keys(skewed):
     assert len(found) == 900
 
 
+ORDERS = {
+    "by_n": [("n", True), ("key", False)],
+    "by_s": [("s", False), ("key", True)],
+    "by_key": [("key", False)],
+}
+
+
+def sorted_by(order):
+    return [F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_last() for c, descending in order]
+
+
 def test_ranks_of_a_result(skewed):
     metrics = skewed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("s"))
-    key = F.col("key").asc_nulls_last()
-    orders = {"by_n": [F.desc("n"), key], "by_s": [F.desc("s"), key]}
     plain = metrics
+    for name, order in ORDERS.items():
+        plain = plain.withColumn(name, F.row_number().over(Window.orderBy(*sorted_by(order))).cast("bigint"))
+    assert rows(ranking.add_ranks(metrics, ORDERS)) == rows(plain)
+    assert rows(ranking.add_ranks(metrics, {})) == rows(metrics)
+
+
+def test_ranks_of_many_rows_share_one_range_exchange(skewed):
+    """Orders over all rows, with nulls and ties, in several ranges each."""
+    data = skewed.withColumnRenamed("value", "a b")
+    orders = {
+        "first": [("a b", True), ("id", False)],
+        "second": [("key", False), ("a b", False), ("id", True)],
+        "third": [("id", True)],
+    }
+    plain = data
     for name, order in orders.items():
-        plain = plain.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
-    assert rows(ranking.add_ranks(metrics, orders)) == rows(plain)
+        quoted = sorted_by([(f"`{c}`", d) for c, d in order])
+        plain = plain.withColumn(name, F.row_number().over(Window.orderBy(*quoted)).cast("bigint"))
+    found = ranking.add_ranks(data, orders)
+    assert found.columns == [*data.columns, *orders] and rows(found) == rows(plain)
+    plan = found._jdf.queryExecution().toString()
+    assert "rangepartitioning" not in plan  # that exchange is done and written: what is left joins by row
+    assert "CartesianProduct" not in plan
+
+
+def test_ranks_of_nothing(spark):
+    empty = spark.createDataFrame([], "key string, n long, s long")
+    assert ranking.add_ranks(empty, ORDERS).count() == 0
 
 
 def test_empty_input(spark):
