@@ -1,8 +1,8 @@
 """Data-quality checks as whole-table queries.
 
 Checks over the same rows share one aggregate; the scan is never repeated per
-column. Checks that need a shuffle (uniqueness, repeated rows) combine before
-it.
+column. Checks that need a shuffle (uniqueness, repeated rows) count digests
+and shuffle only rows whose digest recurs.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lakeward.functions import columns as c
 from lakeward.operators.layout import row_bytes
+from lakeward.session import stage
 
 ROWS = "rows"
 
@@ -31,9 +32,55 @@ def null_rows(df: DataFrame, column: str) -> DataFrame:
 
 
 def repeated(df: DataFrame, *columns: str) -> DataFrame:
-    """Values (or combinations) seen more than once; a single null key is no value."""
-    keyed = df.filter(c.present(columns)) if len(columns) == 1 else df
-    return keyed.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    """Values (or combinations) seen more than once; a single null key is no value.
+
+    Combinations and texts are counted by digest first (``recurring``), so that only
+    those that recur are shuffled whole.
+    """
+    keys = df.select(*columns)
+    keyed = keys.filter(c.present(columns)) if len(columns) == 1 else keys
+    types = [f.dataType for f in keyed.schema.fields]
+    # A number is no wider than its digest: counting it as it is takes one shuffle less.
+    if len(types) > 1 or not isinstance(types[0], (T.NumericType, T.DatetimeType, T.BooleanType)):
+        keyed = recurring(keyed)
+    counted = keyed.groupBy(*columns).agg(F.count(F.lit(1)).alias(_TIMES)).filter(F.col(_TIMES) > 1)
+    return counted.withColumnRenamed(_TIMES, "n")
+
+
+_DIGEST, _AGAIN, _TIMES = "_digest", "_again", "_times"
+
+
+def _digest(df: DataFrame) -> Column:
+    """64-bit digest of a row: of its values, and of which of them are null.
+
+    Rows that group as one have one digest: signs of zero and kinds of NaN do not
+    matter to it either. Values that have no hash (maps) are left out, so rows that
+    differ in these alone share a digest and are told apart by the comparison.
+    """
+    names = [f"`{f.name}`" for f in df.schema.fields if not _holds_map(f.dataType)]
+    holes = [F.col(f"`{n}`").isNull() for n in df.columns]
+    return F.xxhash64(*names, *holes)
+
+
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.MapType, T.VariantType)) or isinstance(kind, T.ArrayType) and _holds_map(kind.elementType)
+
+
+def recurring(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` that may occur more than once: all that do, and rarely others.
+
+    A digest per row is counted, with a combine before the shuffle, so what crosses the
+    network for a row that is there once is its digest alone. The digests seen more
+    than once are staged, so Spark knows their size: it broadcasts them below
+    ``autoBroadcastJoinThreshold`` and shuffles beyond it, where adaptive execution
+    splits a digest that many rows share. The frame is computed twice.
+    """
+    again = df.select(_digest(df).alias(_AGAIN)).groupBy(_AGAIN).agg(F.count(F.lit(1)).alias("n"))
+    again = stage(again.filter("n > 1").select(_AGAIN), "again")
+    suspects = df.withColumn(_DIGEST, _digest(df)).join(again, F.col(_DIGEST) == F.col(_AGAIN), "left_semi")
+    return suspects.drop(_DIGEST)
 
 
 def unexpected_values(df: DataFrame, column: str, accepted: Sequence[str]) -> DataFrame:
@@ -133,9 +180,14 @@ def all_null_columns(df: DataFrame) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Number of repeated rows: all but the first of each."""
-    quoted = [F.col(f"`{n}`") for n in df.columns]
-    groups = df.groupBy(*quoted).agg(F.count(F.lit(1)).alias("_n"))
+    """Number of repeated rows: all but the first of each; null equals null.
+
+    Only rows whose digest recurs are compared, and shuffled, whole. Rows without a
+    column are all the same.
+    """
+    if not df.columns:
+        return df.agg(F.greatest(F.count(F.lit(1)) - 1, F.lit(0)).alias("duplicate_rows"))
+    groups = recurring(df).groupBy(*[F.col(f"`{n}`") for n in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 

@@ -141,3 +141,56 @@ def test_declared_checks(people):
         q.enforce(q.run_checks(people, checks))
     with pytest.raises(ValueError, match="unknown check"):
         q.run_checks(people, [q.Check("pretty", ("id",))])
+
+
+def shuffled(spark, run):
+    """Bytes that a run writes to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return sum(store.executorList(False).apply(i).totalShuffleWrite() for i in range(store.executorList(False).size()))
+
+    before = written()
+    result = run()
+    return written() - before, result
+
+
+def test_rows_that_are_there_once_are_not_shuffled_whole(spark, small):
+    rows_once = small.orders.unionByName(small.orders.withColumn("o_orderkey", F.col("o_orderkey") + 10_000_000))
+    rows_once = rows_once.withColumn("note", F.sha2(F.col("o_orderkey").cast("string"), 512))
+    plain_bytes, _ = shuffled(spark, lambda: rows_once.groupBy(*rows_once.columns).count().agg(F.sum("count")).collect())
+    taken, found = shuffled(spark, lambda: q.duplicate_rows(rows_once).first()[0])
+    assert found == 0 and taken < plain_bytes / 8
+    again = rows_once.unionByName(rows_once.where("o_orderkey % 50 = 0"))
+    taken, found = shuffled(spark, lambda: q.duplicate_rows(again).first()[0])
+    assert found == rows_once.where("o_orderkey % 50 = 0").count() > 0 and taken < plain_bytes / 4
+
+
+def test_duplicates_with_nulls_nested_values_and_a_hot_row(spark):
+    nan, zero = float("nan"), 0.0
+    data = [
+        (None, "a", nan, [1, None], {"k": 1}), (None, "a", float("nan"), [1, None], {"k": 1}),
+        ("a", None, zero, [], None), ("a", None, -zero, [], None), (None, "a", zero, [], None),
+        ("x", "y", 1.0, None, {"k": 1}), ("x", "y", 1.0, None, {"k": 2}),  # differ in the map alone
+    ]
+    data += [("hot", "row", 2.0, [7], {"h": 0})] * 500
+    df = spark.createDataFrame(data, "a string, `b c` string, d double, e array<int>, f map<string,int>")
+    assert q.duplicate_rows(df).first()[0] == 1 + 1 + 499
+    assert q.duplicate_rows(df.select("a", "`b c`")).first()[0] == len(data) - df.select("a", "`b c`").distinct().count()
+    assert q.duplicate_rows(spark.range(4).select()).first()[0] == 3
+    assert q.duplicate_rows(spark.range(0).select()).first()[0] == 0
+
+
+def test_repeated_texts_and_combinations(spark):
+    df = spark.createDataFrame([(None, 1), (None, 1), ("a", 1), ("a", 2), ("b", None), ("b", None), (None, None)], "t string, n int")
+    assert rows(q.repeated(df, "t")) == [("a", 2), ("b", 2)]
+    assert rows(q.repeated(df, "t", "n")) == sorted([(None, 1, 2), ("b", None, 2)], key=repr)
+    assert rows(q.repeated(df, "n")) == [(1, 3)]
+    assert q.repeated(df.filter("false"), "t", "n").count() == 0
+
+
+def test_digests_that_collide_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(q, "_digest", lambda df: F.lit(1).cast("long"))
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a")], "n int, t string")
+    assert q.duplicate_rows(df).first()[0] == 1 and rows(q.repeated(df, "n", "t")) == [(1, "a", 2)]
