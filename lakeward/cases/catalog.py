@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lakeward.cases import case
 from lakeward.cases.support import namespace
-from lakeward.operators import catalog, maintenance, sinks
+from lakeward.operators import catalog, maintenance, sinks, statistics
 from lakeward.plans.fixtures import AS_OF, Tables, oracle
 from lakeward.session import fresh_path
 from lakeward.sources import files
@@ -71,7 +71,7 @@ def _stats_sql(name: str, table: str, ordered: bool) -> str:
         "rev",
     ),
 )
-def statistics(t: Tables) -> DataFrame:
+def exact_statistics(t: Tables) -> DataFrame:
     columns = ["row_key", "disease", "age", "outcome_variable", "loaded_at"]
     return catalog.statistics(t.rev.select(columns), exact=True)
 
@@ -82,30 +82,62 @@ def _approx_sql(name: str, ordered: bool) -> str:
 
 
 _LINEITEM = {
-    "l_orderkey": True, "l_partkey": True, "l_suppkey": True, "l_linenumber": True, "l_returnflag": False, "l_linestatus": False,
+    "l_orderkey": True, "l_partkey": True, "l_suppkey": True, "l_linenumber": True, "l_quantity": True, "l_extendedprice": True,
+    "l_discount": True, "l_tax": True, "l_returnflag": False, "l_linestatus": False, "l_shipdate": True,
 }
+_APPROX = " union all ".join(
+    [*(_approx_sql(n, o) for n, o in _LINEITEM.items()), "select null, null, true, null, null, count(*) from lineitem"]
+)
 
 
-@case(
-    "meta_stats_approx",
-    " union all ".join(
-        [*(_approx_sql(n, o) for n, o in _LINEITEM.items()), "select null, null, true, null, null, count(*) from lineitem"]
-    ),
-)
-def statistics_approximate(t: Tables) -> DataFrame:
-    """Exact figures as they are; an estimated distinct count within three standard errors (5 % each) is close."""
-    columns = list(_LINEITEM)
-    estimated = catalog.statistics(t.lineitem.select(columns))
-    exact = catalog.statistics(t.lineitem.select(columns), exact=True).select(
+def _judged(estimated: DataFrame, table: DataFrame, error: float) -> DataFrame:
+    """Exact figures as they are; an estimated distinct count becomes whether it is within the error."""
+    exact = catalog.statistics(table, exact=True).select(
         F.col("column_name").alias("c"), F.col("distinct_values").alias("d")
     )
-    near = F.abs(F.col("distinct_values") - F.col("d")) <= F.lit(3 * 0.05) * F.col("d")
+    near = F.abs(F.col("distinct_values") - F.col("d")) <= F.greatest(F.lit(1), F.ceil(F.lit(error) * F.col("d")))
     return estimated.join(exact, F.col("column_name").eqNullSafe(F.col("c"))).select(
         "column_name", "null_share", F.when(F.col("column_name").isNull(), True).otherwise(near).alias("close"),
         "low_value", "high_value", "row_count",
     )
 
 
+@case("meta_stats_approx", _APPROX)
+def statistics_approximate(t: Tables) -> DataFrame:
+    """Estimates of the whole table, within three standard errors (5 % each)."""
+    return _judged(catalog.statistics(t.lineitem), t.lineitem, 3 * 0.05)
+
+
+@case("meta_stats_loads", _APPROX)
+def statistics_by_load(t: Tables) -> DataFrame:
+    """Three loads, one of them repeated: each is read alone, the kept rows are merged."""
+    path, schema = fresh_path(t.spark, "statistics"), t.lineitem.schema
+    year = F.year("l_shipdate")
+    for load in ("early", "middle", "late", "middle"):
+        border = {"early": year < 1994, "middle": year.between(1994, 1996), "late": (year > 1996) | year.isNull()}
+        statistics.record_load(t.lineitem.where(border[load]), path, load)
+    return _judged(statistics.recorded(t.spark, path, schema), t.lineitem, statistics.ERROR)
+
+
+@case(
+    "meta_stats_partitions",
+    oracle(
+        """select tenant_id, count(*) as rows, count(latency_us) as measured, min(query_id) as low, max(query_id) as high
+from query_log group by tenant_id union all select null, count(*), count(latency_us), min(query_id), max(query_id) from query_log""",
+        "query_log",
+    ),
+)
+def statistics_by_partition(t: Tables) -> DataFrame:
+    """A row per partition of a table, and all of them merged."""
+    path = fresh_path(t.spark, "statistics")
+    log = t.query_log.select("query_id", "latency_us", "tenant_id")
+    statistics.record_partitions(log, path, ["tenant_id"])
+    kept = t.spark.read.parquet(path)
+    each = kept.select("tenant_id", "rows", F.col("filled1").alias("measured"), F.col("low0").alias("low"), F.col("high0").alias("high"))
+    whole = each.agg(*[f.alias(n) for n, f in zip(each.columns[1:], (F.sum("rows"), F.sum("measured"), F.min("low"), F.max("high")))])
+    return each.unionByName(whole.withColumn("tenant_id", F.lit(None).cast("string")))
+
+
 @case(
     "meta_partitions",
     oracle("select tenant_id, count(*) as rows, true as listed from query_log group by tenant_id", "query_log"),
