@@ -140,14 +140,3 @@ def near_duplicates(
     return each.join(component, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay: of each component the document with the smallest id.
-
-    Rows that repeat id and text stay once. Rows without an id are in no group
-    that could name them and stay, once per text.
-    """
-    groups = near_duplicates(df, id_col, text_col)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, df[id_col] == gone["_gone"], "left_anti").dropDuplicates([id_col, text_col])

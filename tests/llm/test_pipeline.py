@@ -13,7 +13,7 @@ from lakeward.llm.queries import QUERIES
 
 from llm_cases import AWKWARD, SMALL, docs_of  # noqa: F401
 from test_decontaminate import plain_leaks
-from test_simhash import plain_components, plain_fingerprint
+from test_shingles import plain_components
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -31,7 +31,7 @@ def test_stages_against_plain_versions(spark):
     assert {r.doc_id: r.text for r in first.collect()} == texts and first.columns == COLUMNS
 
     second = steps["simhash_near_dedup"](spark, first, SMALL)
-    component = plain_components([(i, plain_fingerprint(t)) for i, t in texts.items()])
+    component = plain_components(list(texts.items()))
     texts = {i: t for i, t in texts.items() if component[i] == i}
     assert {r.doc_id: r.text for r in second.collect()} == texts and second.columns == COLUMNS
 

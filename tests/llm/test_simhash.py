@@ -72,7 +72,6 @@ def test_awkward_rows(docs_of):
 
 def test_empty_table(docs_of):
     assert simhash.near_duplicates(docs_of([])).count() == 0
-    assert simhash.one_per_group(docs_of([])).count() == 0
 
 
 def test_hash_is_the_one_spark_has(spark):
@@ -101,13 +100,6 @@ def test_links_are_exactly_the_close_pairs(spark, distance, segments):
     assert got == expected
 
 
-def test_one_document_of_each_group_stays(docs_of):
-    rows = [(3, "a b c d e"), (1, "a b c d e"), (2, "quite another text here"), (2, "quite another text here"), (None, "x y z q")]
-    kept = simhash.one_per_group(docs_of(rows))
-    assert kept.columns == docs_of(rows).columns
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 2), (True, 0)]
-
-
 def test_components_of_chains_stars_and_cycles(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, k) for k in range(101, 160)] + [(200, 201), (201, 202), (202, 200), (300, 300)]
     random.seed(1)
