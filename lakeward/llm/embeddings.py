@@ -48,6 +48,8 @@ class Tile:
     """Rows of a block, in full precision and quantised."""
 
     def __init__(self, vectors: np.ndarray, weights: np.ndarray, place: np.ndarray):
+        # A power of two brings the largest component near 1: no bit changes, and no square overflows or vanishes.
+        vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
         self.vectors, self.weights, self.place = vectors, weights, place
         self.norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
         whole, self.scale, self.length, self.rest = quantize(vectors / self.norms[:, None])

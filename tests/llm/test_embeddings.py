@@ -126,3 +126,15 @@ def test_empty_table(spark):
 def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     assert sorted(map(tuple, QUERIES["op1_embeddings"](spark, SMALL).collect()), key=repr) == plain(rows)
+
+
+def test_vectors_of_any_finite_size_link_by_cosine(spark):
+    rows = [
+        (1, [1e200, 1e200, 0.0], 0), (2, [2e200, 2e200, 0.0], 0), (3, [1e-200, 1e-200, 0.0], 0), (4, [3e-320, 3e-320, 0.0], 0),
+        (5, [1e308, -1e308, 0.0], 0), (6, [1e-300, -1e-300, 1e-302], 0), (7, [5e-324, 0.0, 0.0], 0), (8, [1.0, 0.0, 0.0], 0),
+        (9, [1e308, 1e-308, 0.0], 0), (10, [0.0, 0.0, 1.7e308], 0),
+    ]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(frame).collect()}
+    assert [found[i] for i in (1, 2, 3, 4)] == [(3, 1)] * 4
+    assert found[5] == found[6] == (1, 5) and [found[i] for i in (7, 8, 9)] == [(2, 7)] * 3 and found[10] == (0, 10)
