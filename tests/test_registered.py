@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 
 import pytest
 
@@ -52,3 +53,10 @@ def test_plan_has_no_all_pairs_join_and_no_python(plan_of, name):
     assert "NestedLoopJoin" not in plan
     if name not in PYTHON_ALLOWED:
         assert not re.search(r"PythonUDF|ArrowEvalPython|MapInArrow|MapInPandas|BatchEvalPython", plan)
+
+
+@pytest.mark.parametrize("absent", ["lakeward.llm", "corpus_pipeline"])
+def test_queries_do_without_the_training_data_package(monkeypatch, absent):
+    monkeypatch.setitem(sys.modules, absent, None)  # its import fails
+    names = set(entry.queries())
+    assert names >= set(load_all()) and "pipeline" not in names and set(entry.oracle_sql()) <= names
