@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, functions as F
 from lakeward.cases import case
 from lakeward.cases.models import PATIENT_DAILY
 from lakeward.cases.support import namespace
-from lakeward.operators import maintenance, sinks
+from lakeward.functions import columns as c
+from lakeward.operators import maintenance, sinks, views
 from lakeward.plans import models as m
 from lakeward.plans.fixtures import AS_OF, Tables, oracle
-from lakeward.session import stage
+from lakeward.session import fresh_path, stage
 
 HOUR = dt.timedelta(hours=1)
 
@@ -31,6 +32,39 @@ def materialized_view(t: Tables) -> DataFrame:
     return t.spark.table(name)
 
 
+# Whole days: every partition of the table is a day.
+_DAYS = PATIENT_DAILY.replace("recorded_at >= timestamp", "date_trunc('day', recorded_at) >= timestamp")
+
+
+@case("mat_mview_delta", oracle(_DAYS, "patient_data"))
+def changed_view(t: Tables) -> DataFrame:
+    """A view over a table by month that is loaded, changed and changed back, and refreshed after each."""
+    table, path = fresh_path(t.spark, "patients"), fresh_path(t.spark, "view")
+    age, rows = c.json_value("demographics", "age", "int"), t.patient_data
+    day = c.trunc_to("day", "recorded_at", rows)
+    daily = views.View(
+        keys={"disease": F.col("disease"), "recorded_date": F.col("recorded_date")},
+        sums={"positive": F.coalesce(F.col("outcome") == "Positive", F.lit(False)).cast("int"), "age_sum": age, "age_count": age.isNotNull().cast("int")},
+        shown={
+            "total_cases": F.col("_rows"),
+            "positivity_rate": F.try_divide(F.col("positive").cast("double"), F.col("_rows")),
+            "avg_age": F.try_divide(F.col("age_sum").cast("double"), F.col("age_count")),
+        },
+    )
+    recent = rows.withColumn("recorded_date", day).where(F.col("recorded_date") >= F.lit(AS_OF - dt.timedelta(days=30)))
+    parted = recent.withColumn("slice", F.pmod(F.hash("patient_id"), F.lit(4)))
+
+    def write(df: DataFrame) -> None:
+        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("slice").parquet(table)
+        views.refresh(t.spark.read.parquet(table), daily, path, ["slice"])
+
+    write(parted.where("slice < 3"))
+    write(parted.where("slice = 1").withColumn("outcome", F.lit("Positive")))  # an update
+    write(parted.where("slice in (1, 3)"))  # undone, and an append
+    return views.current(t.spark, daily, path)
+
+
 @case("maint_compact", "select event_id, user_id, event_type, value from events")
 def compact(t: Tables) -> DataFrame:
     name = f"{namespace(t.spark)}.events"
