@@ -11,6 +11,14 @@ terms, so an item that is quoted whole scores 1 and one threshold serves items
 of any length. Passages are windows of words, long enough that any item lies
 whole in one of them.
 
+The threshold alone could miss a leak: an item whose few rare words are the ones
+left out scores low although nearly all its n-grams are there. So every item has
+its own threshold, the smaller of the given one and the least share that a passage
+with enough of its n-grams can have. A word is missing only where all n-grams with
+it are; spread over these, its weight makes each n-gram worth something, and the
+n-grams that may be missing are worth at most what the dearest of them are. The
+weights of an item with a lower threshold are raised until the given one fits it.
+
 Retrieval never scores an item that cannot reach the threshold. Items are
 sorted by length and cut into blocks; for every term the largest weight in each
 block is known. A passage first adds these block maxima, and blocks below the
@@ -18,8 +26,9 @@ threshold are left out. In the others WAND walks the posting lists in item
 order: with cursors sorted by item, the pivot is the first cursor at which the
 sum of the lists' maxima reaches the threshold; items before it are skipped.
 
-The index is shipped to the tasks in shards of at most ``SHARD`` items, whose
-size in bytes is checked; a larger benchmark is run shard by shard.
+The index is shipped to the tasks in shards of at most ``SHARD`` items; the bytes
+of their texts and of their block maxima (terms x blocks) are both bounded. A
+larger benchmark is run shard by shard.
 """
 
 from __future__ import annotations
@@ -44,6 +53,7 @@ PASSAGE = 128  # words of a passage at least
 SHARD = 2_000  # items of an index shard
 _PASSAGES = 512  # passages of a text that are bounded at a time
 SHARD_BYTES = 64 << 20  # text of a shard, a bound for what is broadcast
+INDEX_BYTES = 64 << 20  # block maxima of a shard, another
 
 _WORD = re.compile(r"\w+")
 
@@ -67,11 +77,42 @@ class Item:
     answer: str | None
 
 
+def least_share(weights: dict[str, float], parts: list[set[tuple[str, ...]]], overlap: float) -> float:
+    """A share of the weights that every passage with ``overlap`` of the n-grams of each part has.
+
+    ``weights`` are those of an item's words, ``parts`` the n-grams of its question and answer.
+    """
+    parts = [p for p in parts if p]
+    spare = [sum((len(p) - n) / len(p) >= overlap for n in range(1, len(p) + 1)) for p in parts]
+    within = [Counter(word for gram in p for word in set(gram)) for p in parts]
+    lost = 0.0
+    placed: set[str] = set()  # a word of both parts must be missing in both, and counts in the first
+    for part, may, counts in zip(parts, spare, within):
+        gone = {w for w in counts if all(c[w] <= n for c, n in zip(within, spare))} - placed
+        worth = sorted((sum(weights[w] / counts[w] for w in set(gram) & gone) for gram in part), reverse=True)
+        lost += sum(worth[:may])
+        placed |= gone
+    whole = sum(weights.values())
+    return max(0.0, 1 - lost / whole) if whole else 0.0
+
+
 class Index:
     """Inverted index of test items with block maxima."""
 
-    def __init__(self, items: list[Item], frequency: dict[str, int], total: int, mean: float):
-        """``frequency``, ``total``, ``mean``: items per term, items and words per item of the whole benchmark."""
+    def __init__(
+        self,
+        items: list[Item],
+        frequency: dict[str, int],
+        total: int,
+        mean: float,
+        threshold: float = THRESHOLD,
+        overlap: float | None = None,
+    ):
+        """``frequency``, ``total``, ``mean``: items per term, items and words per item of the whole benchmark.
+
+        With ``overlap``, weights are raised so that no passage that holds so much of an
+        item's n-grams stays below ``threshold``; without it, they are plain shares.
+        """
         self.words = [words_of(i.question) + words_of(i.answer) for i in items]
         order = sorted(range(len(items)), key=lambda k: (len(self.words[k]), items[k].item_id))
         self.items = [items[k] for k in order]
@@ -79,6 +120,9 @@ class Index:
         self.longest = max(map(len, self.words), default=0)
         self.terms: dict[str, int] = {}
         self.postings: list[tuple[list[int], list[float]]] = []
+        self.questions = [grams(words_of(i.question)) for i in self.items]
+        self.answers = [grams(words_of(i.answer)) for i in self.items]
+        self.raised: list[float] = []  # what an item's shares are multiplied by
         for n, words in enumerate(self.words):
             weights = {}
             for word, count in Counter(words).items():
@@ -86,19 +130,19 @@ class Index:
                 idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
                 weights[word] = idf * count * (K1 + 1) / (count + K1 * (1 - B + B * len(words) / max(mean, 1e-9)))
             whole = sum(weights.values())
+            least = threshold if overlap is None else least_share(weights, [self.questions[n], self.answers[n]], overlap)
+            self.raised.append(max(1.0, threshold / max(least, 1e-6)))
             for word, weight in weights.items():
                 t = self.terms.setdefault(word, len(self.terms))
                 if t == len(self.postings):
                     self.postings.append(([], []))
                 self.postings[t][0].append(n)
-                self.postings[t][1].append(weight / whole)
+                self.postings[t][1].append(weight / whole * self.raised[n])
         self.blocks = -(-len(items) // BLOCK)
         # One row more: words that no item has add nothing.
         self.block_max = np.zeros((len(self.terms) + 1, max(self.blocks, 1)), np.float32)
         for t, (at, weights) in enumerate(self.postings):
             np.maximum.at(self.block_max[t], np.array(at) // BLOCK, np.array(weights, np.float32))
-        self.questions = [grams(words_of(i.question)) for i in self.items]
-        self.answers = [grams(words_of(i.answer)) for i in self.items]
 
     def passages(self, count: int) -> list[tuple[int, int]]:
         """Word ranges of the passages of a text: any item is whole in one of them."""
@@ -107,7 +151,7 @@ class Index:
         return [(at, min(at + size, count)) for at in range(0, max(1, count - self.longest + 1), max(step, 1))]
 
     def retrieve(self, terms: list[int], blocks: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """All items in ``blocks`` scoring at least ``threshold`` for the distinct ``terms``, by WAND."""
+        """All items in ``blocks`` that reach ``threshold`` with the distinct ``terms``, and their shares, by WAND."""
         found = []
         for block in blocks:
             first, last = block * BLOCK, (block + 1) * BLOCK
@@ -131,7 +175,7 @@ class Index:
                 if cursors[0][0] == item:
                     score = sum(self.postings[t][1][at] for n, t, at, _ in cursors if n == item)
                     if score >= threshold - 1e-9:
-                        found.append((item, min(score, 1.0)))
+                        found.append((item, min(score / self.raised[item], 1.0)))
                     target = item + 1
                 else:
                     target = item
@@ -207,7 +251,12 @@ def _item_rows(items: DataFrame, id_col: str, question_col: str, answer_col: str
 
 
 def build_indexes(
-    items: DataFrame, id_col: str = "item_id", question_col: str = "text", answer_col: str | None = None
+    items: DataFrame,
+    id_col: str = "item_id",
+    question_col: str = "text",
+    answer_col: str | None = None,
+    threshold: float = THRESHOLD,
+    overlap: float = OVERLAP,
 ):
     """One ``Index`` per shard of the benchmark, made one after another.
 
@@ -219,24 +268,27 @@ def build_indexes(
     frequency: dict[str, int] = defaultdict(int)
     total = length = 0
     shards: list[list[Item]] = [[]]
-    size = 0
+    size, known = 0, set()
     for row in rows.orderBy("item_id", "question", "answer").toLocalIterator():
         item = Item(row.item_id, row.question or "", row.answer)
         words = words_of(item.question) + words_of(item.answer)
         if not words:
             continue
-        for word in set(words):
+        terms = set(words)
+        for word in terms:
             frequency[word] += 1
         total, length = total + 1, length + len(words)
         held = len(item.question) + len(item.answer or "")
-        if shards[-1] and (len(shards[-1]) >= SHARD or size + held > SHARD_BYTES):
+        maxima = 4 * (len(known) + len(terms - known) + 1) * (len(shards[-1]) // BLOCK + 1)
+        if shards[-1] and (len(shards[-1]) >= SHARD or size + held > SHARD_BYTES or maxima > INDEX_BYTES):
             shards.append([])
-            size = 0
+            size, known = 0, set()
         shards[-1].append(item)
         size += held
+        known |= terms
     for shard in shards:
         if shard:
-            yield Index(shard, frequency, total, length / total)
+            yield Index(shard, frequency, total, length / total, threshold, overlap)
 
 
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
@@ -258,12 +310,13 @@ def find_leaks(
     ``score`` is the BM25 share, ``question_overlap`` and ``answer_overlap`` the
     shares of n-grams found (null where the item has none), ``first_word`` the
     first word of the passage. Null and empty texts leak nothing; an empty
-    benchmark gives an empty result; repeated rows give repeated results.
+    benchmark gives an empty result; repeated rows give repeated results. An item
+    with a share below ``threshold`` is found too where its n-grams reach ``overlap``.
     Collects the benchmark (never the documents) while it is called.
     """
     spark, docs = df.sparkSession, documents(df, id_col, text_col)
     out = None
-    for index in build_indexes(items, item_id_col, question_col, answer_col):
+    for index in build_indexes(items, item_id_col, question_col, answer_col, threshold, overlap):
         shared = spark.sparkContext.broadcast(index)
 
         def one(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
@@ -299,7 +352,7 @@ def clean_rows(
 
     Null and empty texts leak nothing and stay.
     """
-    for index in build_indexes(items, item_id_col, question_col, answer_col):
+    for index in build_indexes(items, item_id_col, question_col, answer_col, threshold, overlap):
         shared = df.sparkSession.sparkContext.broadcast(index)
 
         def keep(texts: pa.Array, shared=shared) -> list[bool]:

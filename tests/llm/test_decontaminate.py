@@ -126,3 +126,74 @@ def test_short_items_and_empty_tables(spark, docs_of):  # noqa: F811
     assert d.find_leaks(docs_of([]), items).count() == 0
     assert d.find_leaks(docs_of([(1, "x")]), items_frame(spark, [])).count() == 0
     assert d.clean_rows(docs_of([(1, "x")]), items_frame(spark, [])).count() == 1
+
+
+def test_item_quoted_without_its_rare_words(spark, docs_of):  # noqa: F811
+    """24 common and 6 rare words without the last 4: overlap 0.846, under half of the weight."""
+    common, rare = [f"common{i}" for i in range(24)], [f"rare{i}" for i in range(6)]
+    rows = [(1, " ".join(common + rare), None)] + [(k, " ".join(common), None) for k in range(2, 200)]
+    items = items_frame(spark, rows)
+    found = d.find_leaks(docs_of([(1, " ".join((common + rare)[:-4])), (2, " ".join(common + rare))]), items).where("item_id = 1")
+    got = {r.doc_id: r for r in found.collect()}
+    assert got.keys() == {1, 2} and got[1].question_overlap >= d.OVERLAP and got[1].score < 0.5 and got[2].score == 1.0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_no_overlap_is_lost_below_the_threshold(seed):
+    """Cuts, gaps and replaced words in items of common and rare words, with and without an answer."""
+    rng = random.Random(seed)
+
+    def draw(n):
+        return " ".join([f"c{rng.randrange(12)}" for _ in range(n - n // 6)] + [f"r{rng.randrange(5000)}" for _ in range(n // 6)])
+
+    items = [d.Item(k, draw(rng.randint(1, 45)), draw(rng.randint(1, 30)) if k % 3 == 0 else None) for k in range(120)]
+    words = [d.words_of(i.question) + d.words_of(i.answer) for i in items]
+    frequency = Counter(w for ws in words for w in set(ws))
+    index = d.Index(items, frequency, len(items), sum(map(len, words)) / len(words), d.THRESHOLD, d.OVERLAP)
+    low = 0
+    for item in items:
+        for _ in range(8):
+            parts = []
+            for text in (item.question, item.answer):
+                ws = d.words_of(text)
+                if rng.random() < 0.5:
+                    cut = rng.randint(0, len(ws) // 5)
+                    ws = ws[cut:] if rng.random() < 0.5 else ws[: len(ws) - cut]
+                elif ws:
+                    ws[rng.randrange(len(ws))] = "other"
+                parts += ws
+            held = d.grams(parts)
+            expected = set()
+            for other in items:
+                shares_held = [
+                    index._held(d.grams(d.words_of(t)), held, parts) for t in (other.question, other.answer)
+                ]
+                if all(s is None or s >= d.OVERLAP for s in shares_held):
+                    expected.add(other.item_id)
+            got = {i: score for i, score, *_ in index.leaks(" ".join(parts), d.THRESHOLD, d.OVERLAP)}
+            assert got.keys() == expected
+            low += sum(score < d.THRESHOLD for score in got.values())
+    assert low
+
+
+def test_least_share_against_all_sets_of_missing_grams():
+    from itertools import combinations
+
+    rng = random.Random(5)
+    for _ in range(60):
+        ws = rng.choices("abcdefghijkl", k=rng.randint(5, 14))
+        weights = {w: rng.random() for w in ws}
+        wanted = d.grams(ws)
+        bound = d.least_share(weights, [wanted, set()], 0.7)
+        for n in range(len(wanted) + 1):
+            if (len(wanted) - n) / len(wanted) >= 0.7:
+                for gone in combinations(wanted, n):
+                    held = {w for g in wanted - set(gone) for w in g}
+                    assert sum(weights[w] for w in held) / sum(weights.values()) >= bound - 1e-9
+
+
+def test_block_maxima_bound_the_shards(spark, monkeypatch):
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    monkeypatch.setattr(d, "INDEX_BYTES", 20_000)
+    shards = list(d.build_indexes(items))
+    assert len(shards) > 1 and all(s.block_max.nbytes <= 20_000 or len(s.items) == 1 for s in shards)
