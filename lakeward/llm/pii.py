@@ -54,8 +54,9 @@ _LOCAL = r"(?<!\d)\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])(?:(?:1[.-])?\
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,20}",
     "iban": "",
-    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])",
-    "ipv6": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
+    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![A-Za-z0-9])",
+    "ipv6": r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
+    r"|(?:[0-9A-Fa-f]{1,4}:){1,6}(?:(?::[0-9A-Fa-f]{1,4}){1,6}|:))(?![0-9A-Za-z:])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d.])(?:\d{4}(?: \d{4} \d{4} |-\d{4}-\d{4}-)\d{4}|\d{4}(?: \d{6} |-\d{6}-)\d{5}|\d{13,19})(?!\d)",
     "phone": "",
@@ -89,9 +90,13 @@ PATTERNS["phone"] = "|".join(
 )
 KINDS = list(PATTERNS)
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-_START = f"(?={_ANY})"  # in front of a candidate; candidates can overlap
+#: Where any kind can begin: after a letter or digit none but with a digit, a plus sign or a bracket.
+_BORDER = "(?:(?<![A-Za-z0-9])|(?=[0-9+(]))"
+_START = f"{_BORDER}(?={_ANY})"  # in front of a candidate; candidates can overlap
 _FOUND = "__lakeward_found"
 _GATE = "[0-9@]"  # no value of any kind is without one of these
+_CHUNK = 128  # hex digits of a secret that are permuted together
+_BLOCK = 256  # candidates whose pieces of text are joined at once
 
 
 def _hash_hex(key: str, *parts: Column) -> Column:
@@ -128,7 +133,7 @@ def _shift(char: Column, by: Column, alphabets: list[str]) -> Column:
     return out
 
 
-def _permute_text(value: Column, alphabets: list[str], key: str, kind: str) -> Column:
+def _permute_text(value: Column, alphabets: list[str], key: str, kind: str | Column) -> Column:
     """The string with every character of an alphabet permuted within it, the shape kept.
 
     Half a string of over 64 characters reuses the hash bytes of its other
@@ -136,16 +141,19 @@ def _permute_text(value: Column, alphabets: list[str], key: str, kind: str) -> C
     """
 
     def shifted(half: Column, other: Column, i: Column) -> Column:
-        noise = _hash_hex(key, F.lit(kind), i.cast("string"), other)
-        return F.array_join(
-            F.transform(
-                F.split(half, ""),
-                lambda c, at: _shift(
-                    c, F.conv(F.substring(noise, (at % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int"), alphabets
+        def moved(noise: Column) -> Column:
+            return F.array_join(
+                F.transform(
+                    F.split(half, ""),
+                    lambda c, at: _shift(
+                        c, F.conv(F.substring(noise, (at % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int"), alphabets
+                    ),
                 ),
-            ),
-            "",
-        )
+                "",
+            )
+
+        # An array of one hash: within the inner function it would be made again for every character.
+        return F.transform(F.array(_hash_hex(key, tag, i.cast("string"), other)), moved)[0]
 
     def turn(state: Column, i: Column) -> Column:
         even = i % 2 == 0
@@ -154,6 +162,7 @@ def _permute_text(value: Column, alphabets: list[str], key: str, kind: str) -> C
             F.when(even, state["r"]).otherwise(shifted(state["r"], state["l"], i)).alias("r"),
         )
 
+    tag = F.lit(kind) if isinstance(kind, str) else kind
     half = F.floor(F.length(value) / 2).cast("int")
     start = F.struct(
         F.substring(value, F.lit(1), half).alias("l"), F.substring(value, half + 1, F.length(value)).alias("r")
@@ -280,12 +289,31 @@ def _text_kind(kind: str, *alphabets: str):
     return make
 
 
-def _hex_kind(kind: str):
+def _written_out_or_short(value: Column) -> Column:
+    """A whole IPv6 address, or a short one that is no name in a name space or time.
+
+    A short one leaves out one group at least, and has three groups or a first
+    group of four characters with a digit.
+    """
+    groups = F.filter(F.split(value, ":"), lambda g: F.length(g) > 0)
+    telling = (F.size(groups) > 2) | value.rlike("^(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{4}:")
+    digit = value.rlike("[0-9]")
+    return ~F.contains(value, F.lit("::")) | ((F.size(groups) < 8) & telling & digit)
+
+
+def _hex_kind(kind: str, valid=lambda value: F.length(value) > 0):
     def make(value: Column, key: str) -> tuple[Column, Column]:
         # Upper case is decided for the value as a whole; a value of digits only is lower case.
         upper = value.rlike("[A-F]")
-        new = _permute_text(F.lower(value), ["0123456789abcdef"], key, kind)
-        return F.length(value) > 0, F.when(upper, F.upper(new)).otherwise(new)
+        # A long value in chunks, each with its number in the key; a short one is a single chunk.
+        chunks = F.regexp_extract_all(F.lower(value), F.lit(f".{{1,{_CHUNK}}}"), F.lit(0))
+
+        def permuted(chunk: Column, n: Column) -> Column:
+            tag = F.concat(F.lit(kind), F.when(n > 0, n.cast("string")).otherwise(""))
+            return _permute_text(chunk, ["0123456789abcdef"], key, tag)
+
+        new = F.array_join(F.transform(chunks, permuted), "")
+        return valid(value), F.when(upper, F.upper(new)).otherwise(new)
 
     return make
 
@@ -294,7 +322,7 @@ _MAKERS = {
     "email": _text_kind("email", _DIGITS, _LOWER, _LOWER.upper()),
     "iban": _iban,
     "secret": _hex_kind("secret"),
-    "ipv6": _hex_kind("ipv6"),
+    "ipv6": _hex_kind("ipv6", _written_out_or_short),
     "ssn": _ssn,
     "card": _card,
     "phone": _phone,
@@ -323,14 +351,24 @@ def _chosen(parts: Column, found: Column) -> Column:
     the last replaced value that are still to come.
     """
     ahead = F.size(parts) - F.size(found)  # 1 where text stands in front of the first candidate
+    no_text = F.array().cast("array<string>")
     start = F.struct(
         F.array(F.when(ahead > 0, parts[0]).otherwise("")).alias("out"),
         F.lit(0).alias("skip"),
-        F.array().cast("array<string>").alias("kinds"),
+        no_text.alias("kinds"),
     )
     zipped = F.zip_with(
         F.slice(parts, ahead + 1, F.size(found)), found, lambda p, v: F.struct(p.alias("part"), v.alias("v"))
     )
+    # Lists that grow are copied at every step, so candidates are folded in blocks, and the
+    # blocks then: n / _BLOCK short lists and one of n / _BLOCK texts.
+    blocks = F.transform(
+        F.array(zipped),
+        lambda all_of_them: F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(found) - 1) / _BLOCK).cast("int")),
+            lambda n: F.slice(all_of_them, n * _BLOCK + 1, F.lit(_BLOCK)),
+        ),
+    )[0]
 
     def step(state: Column, x: Column) -> Column:
         kind = x["v"]["as"]["kind"]
@@ -345,7 +383,21 @@ def _chosen(parts: Column, found: Column) -> Column:
             F.when(take, F.concat(state["kinds"], F.array(kind))).otherwise(state["kinds"]).alias("kinds"),
         )
 
-    end = F.aggregate(zipped, start, step)
+    def block(state: Column, candidates: Column) -> Column:
+        fresh = F.struct(no_text.alias("out"), state["skip"].alias("skip"), no_text.alias("kinds"))
+        joined = F.aggregate(candidates, fresh, step, lambda done: F.struct(
+            F.array_join(done["out"], "").alias("text"), done["skip"].alias("skip"), done["kinds"].alias("kinds")
+        ))
+        return F.transform(
+            F.array(joined),
+            lambda j: F.struct(
+                F.concat(state["out"], F.array(j["text"])).alias("out"),
+                j["skip"].alias("skip"),
+                F.concat(state["kinds"], j["kinds"]).alias("kinds"),
+            ),
+        )[0]
+
+    end = F.aggregate(blocks, start, block)
     return F.struct(F.array_join(end["out"], "").alias("text"), end["kinds"].alias("kinds"))
 
 
@@ -362,7 +414,7 @@ def pseudonymize(
     that does not exist) stays as it is.
     """
     text = F.col(text_col)
-    found = F.regexp_extract_all(text, F.lit(f"(?=({_ANY}))"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(f"{_BORDER}(?=({_ANY}))"), F.lit(1))
     found = F.transform(found, lambda v: F.struct(F.length(v).alias("length"), _replaced(v, key).alias("as")))
     held = df.select("*", F.when(text.rlike(_GATE), found).alias(_FOUND))
     done = _chosen(F.split(text, _START, -1), F.col(_FOUND))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import re
 
 import pytest
@@ -38,8 +39,8 @@ VALUES = {
     "date": ["2024-02-29", "31/12/1999", "12/31/1999", "01.05.2001"],
     "iban": ["DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19"],
     "ssn": ["123-45-6789"],
-    "secret": ["24be64439e3e49cf46b2d7c90f3602a3d0b907ff"],
-    "ipv6": ["2001:0db8:85a3:0000:0000:8a2e:0370:7334"],
+    "secret": ["24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "0a1b2c3d" * 25, "0A1B2C3D" * 60 + "7"],
+    "ipv6": ["2001:0db8:85a3:0000:0000:8a2e:0370:7334", "2001:db8::1", "fe80::1", "2001:db8:85a3::8a2e:370:7334", "2001:db8::"],
 }
 SHAPE = str.maketrans({**dict.fromkeys("0123456789", "9")})
 
@@ -78,6 +79,7 @@ def _parses(text, pattern):
 def test_values_that_fail_their_check_stay(spark):
     texts = [
         "4111111111111112", "0000000000000000", "300.1.2.3", "2023-02-29", "DE89370400440532013001",
+        "abcd::beef", "a::b", "12::30", "Ada::Bec::add", "1:2:3:4:5:6:7::8:9",
         "000-45-6789", "1.2.3", "version 2.0.1", "12345", "a@b", "1990-2000", "31/31/2000", "3.14159265358979",
     ]
     assert replaced(spark, *texts) == [(t, []) for t in texts]
@@ -139,7 +141,63 @@ def test_very_long_runs(spark):
     texts = ["x@a" + ".a" * 200_000, "4" * 300_000, "1.2." * 100_000, "+1 " * 100_000, "A1" * 200_000, "a@" * 100_000, "f" * 400_000]
     out = replaced(spark, *texts)
     assert [len(t) for t, _ in out] == [len(t) for t in texts]
-    assert out[0][1] == ["email"] and out[1:] == [(t, []) for t in texts[1:]]
+    hex_runs = [1, 4, 6]  # digits, or letters of one case to F: secrets of any length
+    assert out[0][1] == ["email"] and [out[i] for i in (2, 3, 5)] == [(texts[i], []) for i in (2, 3, 5)]
+    assert all(out[i][1] == ["secret"] and len(set(out[i][0])) == 16 for i in hex_runs)
+
+
+def test_borders_after_letters(spark):
+    texts = ["tel+1 (017) 555-7713", "tel(212) 555-0187", "am2024-02-29", "x192.168.0.1", "no4111111111111111", "_a.b@mail.example.com"]
+    kinds = ["phone", "phone", "date", "ip", "card", "email"]
+    assert [k for _, k in replaced(spark, *texts)] == [[k] for k in kinds]
+
+
+@pytest.mark.parametrize("count", [1, 255, 256, 257, 700])
+def test_blocks_of_candidates(spark, count):
+    """Every value as alone, and what lies between them kept, across the borders of blocks."""
+    days = [(dt.date(1990, 1, 1) + dt.timedelta(i)).isoformat() for i in range(count)]
+    alone = [t for t, _ in replaced(spark, *days)]
+    gaps = [f" <{i}> " for i in range(count)]
+    text, kinds = replaced(spark, "".join(g + d for g, d in zip(gaps, days)) + " end")[0]
+    assert text == "".join(g + d for g, d in zip(gaps, alone)) + " end" and kinds == ["date"] * count
+
+
+def plain_text_permutation(value, alphabets, key, kind):
+    """The network on characters, written with hashlib."""
+    half = len(value) // 2
+    left, right = value[:half], value[half:]
+
+    def shifted(part, other, turn):
+        noise = bytes.fromhex(hashlib.sha512(f"{key}|{kind}|{turn}|{other}".encode()).hexdigest())
+        out = []
+        for at, c in enumerate(part):
+            for letters in alphabets:
+                if c in letters:
+                    c = letters[(letters.index(c) + noise[at % 64]) % len(letters)]
+                    break
+            out.append(c)
+        return "".join(out)
+
+    for turn in range(pii.ROUNDS):
+        if turn % 2 == 0:
+            left = shifted(left, right, turn)
+        else:
+            right = shifted(right, left, turn)
+    return left + right
+
+
+def test_against_a_plain_network(spark):
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    emails = ["was.91@mail6.example.com", "Jo.Do+x@EXAMPLE.co.uk"]
+    secrets = VALUES["secret"]
+    got = [t for t, _ in replaced(spark, *emails, *secrets)]
+    expected = [plain_text_permutation(e, [digits, lower, lower.upper()], pii.KEY, "email") for e in emails]
+    for value in secrets:
+        small = value.lower()
+        parts = [small[i : i + 128] for i in range(0, len(small), 128)]
+        new = "".join(plain_text_permutation(p, [digits + "abcdef"], pii.KEY, f"secret{n or ''}") for n, p in enumerate(parts))
+        expected.append(new.upper() if value != small else new)
+    assert got == expected
 
 
 def test_awkward_rows_and_clashing_columns(docs_of):
