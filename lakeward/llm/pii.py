@@ -94,7 +94,7 @@ _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _BORDER = "(?:(?<![A-Za-z0-9])|(?=[0-9+(]))"
 _START = f"{_BORDER}(?={_ANY})"  # in front of a candidate; candidates can overlap
 _FOUND = "__lakeward_found"
-_GATE = "[0-9@]"  # no value of any kind is without one of these
+_GATE = "[0-9@]|[A-Fa-f]{32}|[A-Fa-f]:[A-Fa-f]"  # no value of any kind is without one of these
 _CHUNK = 128  # hex digits of a secret that are permuted together
 _BLOCK = 256  # candidates whose pieces of text are joined at once
 
