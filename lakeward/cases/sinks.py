@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, functions as F
 from lakeward.cases import case
 from lakeward.cases.models import REV_METRICS, REV_SUMMARY, STG_HEALTH, STG_REV, with_health
 from lakeward.cases.support import namespace
-from lakeward.operators import layout, maintenance, sinks
+from lakeward.operators import clustering, layout, maintenance, sinks
 from lakeward.plans import load_and_model, models as m
 from lakeward.plans.fixtures import AS_OF, Tables, oracle
 from lakeward.session import fresh_path
+from lakeward.sources import arrow_files
 
 ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
 
@@ -180,6 +181,22 @@ def arrow(t: Tables) -> DataFrame:
     return sinks.from_arrow_batches(sinks.arrow_batches(rows), rows.schema)
 
 
+@case(
+    "sink_arrow_files",
+    """select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate from orders
+union all select o_orderkey, o_custkey, 'again', o_totalprice, o_orderdate from orders where o_totalprice > 200000""",
+)
+def arrow_folder(t: Tables) -> DataFrame:
+    """Files of two loads; what a first load wrote is replaced by the second, the third adds to it."""
+    path = fresh_path(t.spark, "arrow-files")
+    rows = t.orders.select(*ORDERS, "o_orderdate")
+    again = rows.where("o_totalprice > 200000").withColumn("o_orderstatus", F.lit("again"))
+    arrow_files.write(again, path)
+    arrow_files.write(rows, path, mode="overwrite")
+    arrow_files.write(again, path)
+    return arrow_files.read(t.spark, path, rows.schema)
+
+
 @case(
     "lay_by_size",
     """with sizes as (select 'orders' as name, count(*) as rows from orders union all select 'lineitem', count(*) from lineitem
@@ -213,6 +230,18 @@ def arranged(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path)
 
 
+@case(
+    "lay_clustered",
+    "select l_orderkey, l_linenumber, l_suppkey, l_shipdate, l_quantity from lineitem",
+)
+def clustered(t: Tables) -> DataFrame:
+    """Files that are narrow in supplier and in date."""
+    path = fresh_path(t.spark, "clustered")
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_quantity")
+    clustering.clustered(rows, ["l_suppkey", "l_shipdate"]).write.parquet(path)
+    return t.spark.read.parquet(path)
+
+
 @case(
     "agg_ingest",
     """with load as (select count(*) as records,
