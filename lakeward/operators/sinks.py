@@ -9,7 +9,6 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakeward.operators import layout, maintenance
-from lakeward.session import stage
 
 # Kinds of target.
 LOCAL, LAKE = "local", "lake"
@@ -137,27 +136,26 @@ def write_bucketed(
 ) -> None:
     """Table bucketed by a key and sorted inside each file, in files of about ``file_bytes``.
 
-    The bytes of each bucket are measured first (one row per bucket), and a
+    The bytes of each bucket are measured first (one aggregate, one row per
+    bucket; the frame is computed once for it and once for the write), and a
     bucket gets as many files as they ask for. Its rows are dealt over these by
     a hash of the whole row, so a key that holds half of all rows is written by
     many tasks, while every task still writes one bucket.
     """
     spark = df.sparkSession
-    rows = stage(df, "bucketed")  # measured and written: computed once
     bucket = F.expr(f"pmod(hash(`{key}`), {buckets})")  # Spark's own bucket number
-    measured = rows.groupBy(bucket.alias("_b")).agg(F.sum(layout.row_bytes(rows)).alias("_bytes")).collect()
-    files = {r["_b"]: max(1, -(-(r["_bytes"] or 0) // file_bytes)) for r in measured}
-    starts, total = {}, 0
-    for b in sorted(files):
-        starts[b], total = total, total + files[b]
-    if not total:
-        rows.write.bucketBy(buckets, key).sortBy(sort_by).saveAsTable(table)
-        return
-    # A row per bucket: the number of its first file, and how many it has.
-    places = spark.createDataFrame([(b, starts[b], files[b]) for b in files], "_b int, _start long, _files long")
-    numbered = rows.withColumn("_b", bucket).join(F.broadcast(places), "_b")
-    file = F.col("_start") + F.pmod(F.xxhash64(*[f"`{c}`" for c in rows.columns]), F.col("_files"))
-    dealt = numbered.withColumn("_file", file).repartitionById(total, F.col("_file").cast("int")).select(*[f"`{c}`" for c in rows.columns])
+    measured = df.groupBy(bucket.alias("_b")).agg(F.sum(layout.row_bytes(df)).alias("_bytes")).collect()
+    sizes = {r["_b"]: r["_bytes"] or 0 for r in measured}
+    # A row per bucket: the number of its first file, and how many it has. Every bucket
+    # has one, so rows that the measurement did not see are written too.
+    places, total = [], 0
+    for b in range(buckets):
+        files = max(1, -(-sizes.get(b, 0) // file_bytes))
+        places.append((b, total, files))
+        total += files
+    numbered = df.withColumn("_b", bucket).join(F.broadcast(spark.createDataFrame(places, "_b int, _start long, _files long")), "_b")
+    file = F.col("_start") + F.pmod(F.xxhash64(*[f"`{c}`" for c in df.columns]), F.col("_files"))
+    dealt = numbered.withColumn("_file", file).repartitionById(total, F.col("_file").cast("int")).select(*[f"`{c}`" for c in df.columns])
     dealt.write.bucketBy(buckets, key).sortBy(sort_by).saveAsTable(table)
 
 
