@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -46,6 +47,19 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
+def give_back_memory() -> None:
+    """Return what a worker has freed to the system, at the end of a task.
+
+    Workers are reused, also by stages that need none of it, and what they keep
+    counts against their executor.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU C library
+        pass
+
+
 def map_batches(
     df: DataFrame,
     one: Callable[[pa.RecordBatch], pa.RecordBatch | None],
@@ -64,6 +78,7 @@ def map_batches(
                 out = one(batch.slice(at, rows))
                 if out is not None and out.num_rows:
                     yield out
+        give_back_memory()
 
     ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
