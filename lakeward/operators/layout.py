@@ -87,6 +87,11 @@ def load_target(rows: Column, size: Column) -> Column:
     return F.when((rows > LOAD_ROWS) | (size > LOAD_BYTES), "large").otherwise("small")
 
 
+def route_target(rows: Column) -> Column:
+    """Which engine a table of this many rows is queried on: ``large`` above the row border only."""
+    return F.when(rows > LOAD_ROWS, "large").otherwise("small")
+
+
 def upload_target(rows: Column) -> Column:
     return F.when(rows > UPLOAD_ROWS, "large").otherwise("small")
 

@@ -219,3 +219,12 @@ def test_uploads_append_or_replace_at_any_size(spark, namespace):
     for bad in ({"target": "cloud"}, {"mode": "auto"}):
         with pytest.raises(ValueError, match="unknown"):
             load_and_model.upload(spark.range(1), table, **bad)
+
+
+def test_tables_by_size_are_routed_by_rows_alone(small, monkeypatch):
+    from lakeward.cases import load_all
+
+    monkeypatch.setattr(layout, "LOAD_BYTES", 0)
+    routed = load_all()["lay_by_size"].run(small).collect()
+    assert len(routed) == 4
+    assert {r.load_target for r in routed} == {"small"}
