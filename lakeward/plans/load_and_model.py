@@ -63,8 +63,10 @@ def ingest(
     stamped = layout.stamp(df, tenant_id, source_type, as_of)
     if load_id is not None:
         stamped = stamped.withColumn(LOAD_ID, F.lit(load_id))
-    # Rows of a tenant together; small loads end in few files, large ones in more.
-    stamped = stamped.hint("rebalance", "tenant_id")
+    # A load has one tenant, a constant: a rebalance by it would put the whole
+    # load into one task. Without a key, small loads end in few files and large
+    # ones are split over tasks of the advisory size.
+    stamped = stamped.hint("rebalance")
     # Observed after the last shuffle: a map task that runs again after a lost
     # executor would be counted twice.
     watched = stamped.observe(

@@ -228,3 +228,14 @@ def test_tables_by_size_are_routed_by_rows_alone(small, monkeypatch):
     routed = load_all()["lay_by_size"].run(small).collect()
     assert len(routed) == 4
     assert {r.load_target for r in routed} == {"small"}
+
+
+def test_a_large_load_of_one_tenant_is_written_by_many_tasks(spark, namespace):
+    table = f"{namespace}.loads"
+    rows = spark.range(400_000).select(F.col("id").cast("int"), F.lit("x").alias("name")).coalesce(1)
+    with settings(spark, spark__sql__adaptive__advisoryPartitionSizeInBytes="64k"):
+        done = load_and_model.ingest(rows, table, "tenant_a", "csv", NOW, load_id="first")
+    assert (done.records, done.errors) == (400_000, 0)
+    written = spark.table(table).select(F.input_file_name().alias("f"))
+    assert written.count() == 400_000
+    assert written.distinct().count() > 1
