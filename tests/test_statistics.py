@@ -88,3 +88,11 @@ def test_empty_loads_and_reserved_names(spark, table):
     assert found["id"].distinct_values == 0 and found["id"].low_value is None
     with pytest.raises(ValueError, match="_load_id"):
         s.record_load(table.withColumn("_load_id", F.lit(1)), path, "x")
+
+
+def test_exact_counts_do_not_copy_rows_once_per_column(spark):
+    df = spark.createDataFrame([(1, "a", 2.0), (1, "b", None), (2, "b", -0.0), (None, None, 0.0)], "i int, s string, d double")
+    found = catalog.statistics(df, exact=True)
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
+    counts = {r.column_name: r.distinct_values for r in found.collect() if r.column_name}
+    assert counts == {"i": 2, "s": 2, "d": 2}
